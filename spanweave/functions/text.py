@@ -1,0 +1,15 @@
+"""Word expressions. A word is a maximal run of letters or digits of any script (Unicode L and N), lower-cased."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def words(text: Column) -> Column:
+    """Array of the words of ``text``; null and wordless texts give an empty array.
+
+    Runs are cut first and lower-cased afterwards, so that letters whose lower case has combining marks stay whole.
+    """
+    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^a-zA-Z0-9\p{L}\p{N}]+", " "))
+    return F.array_remove(F.split(F.lower(spaced), " "), "")
