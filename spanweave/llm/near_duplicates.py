@@ -5,8 +5,9 @@ Jaccard similarity. As in HmSearch (Zhang, Qin, Wang, Sun, Lu 2013), the vector
 so that in some segment two similar records differ by at most one symbol; each segment is indexed under its variants with one
 symbol deleted, records with an equal variant are candidates, and candidates are verified on the whole sets.
 
-A symbol has 32 bits instead of one: single min-hash bits agree by chance in half of all cases, so at a similarity of 0.5 a
-segment within one bit selects nothing. With 20 segments of 4 symbols a pair at similarity 0.5 is missed with probability (1 - 0.3125)^20 = 0.0006.
+A symbol has 16 bits instead of one: single min-hash bits agree by chance in half of all cases, so at a similarity of 0.5 a
+segment within one bit selects nothing. With 12 segments of 4 symbols a pair at similarity 0.5 is missed with probability (1 - 0.3125)^12 = 0.011, at 0.6 with
+0.0004, at 0.7 with 0.000004.
 
 Equal sets are collapsed first: however many copies a text has, it is signed, joined and verified once.
 """
@@ -16,9 +17,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from spanweave.session import materialize
 
 _RUN = re.compile(r"[^\W_]+")
 _MEMO_WORDS = 500_000
+#: Up to this many ids (8 MB) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: the odd golden-ratio multiplier
 
 
@@ -37,97 +42,127 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _signer(shingle: int, min_words: int, segments: int, width: int, seed: int):
-    rng = np.random.default_rng(seed)
-    salts = rng.integers(1, 1 << 63, size=segments * width, dtype=np.uint64) | np.uint64(1)
-    slot = rng.integers(1, 1 << 63, size=(segments, width), dtype=np.uint64)
+def _shingler(shingle: int, min_words: int):
+    """text -> sorted distinct shingle hashes, or None for a text that is too short; remembers words."""
+    memo: dict[str, int] = {}
+
+    def shingles(text: str | None) -> np.ndarray | None:
+        run_of = _RUN.findall(text) if text else []
+        if len(run_of) < max(min_words, shingle):
+            return None
+        codes = []
+        for w in run_of:
+            code = memo.get(w)
+            if code is None:
+                if len(memo) >= _MEMO_WORDS:
+                    memo.clear()
+                code = memo[w] = int.from_bytes(hashlib.blake2b(w.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            codes.append(code)
+        c = np.array(codes, dtype=np.uint64)
+        h = np.zeros(len(c) - shingle + 1, dtype=np.uint64)
+        for k in range(shingle):
+            h = _mixed(h * _MIX + c[k : len(c) - shingle + 1 + k])
+        return np.unique(h)
+
+    return shingles
+
+
+def _signer(shingle: int, min_words: int, symbols: int, seed: int):
+    salts = np.random.default_rng(seed).integers(1, 1 << 63, size=symbols, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        shingles = _shingler(shingle, min_words)
         for batch in batches:
             ids, sets = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is None or not text:
-                    continue
-                run_of = _RUN.findall(text)
-                if len(run_of) < max(min_words, shingle):
-                    continue
-                codes = []
-                for w in run_of:
-                    code = memo.get(w)
-                    if code is None:
-                        if len(memo) >= _MEMO_WORDS:
-                            memo.clear()
-                        code = memo[w] = int.from_bytes(hashlib.blake2b(w.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                    codes.append(code)
-                c = np.array(codes, dtype=np.uint64)
-                h = np.zeros(len(c) - shingle + 1, dtype=np.uint64)
-                for k in range(shingle):
-                    h = _mixed(h * _MIX + c[k : len(c) - shingle + 1 + k])
-                sets.append(np.unique(h))
-                ids.append(i)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            keys = _variants(flat, sizes, salts, slot, segments, width)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            key_offsets = np.arange(len(sets) + 1, dtype=np.int32) * segments * width
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(key_offsets), pa.array(keys.reshape(-1).view(np.int64))),
-                ],
-                names=["id", "digest", "shingles", "keys"],
-            )
+                if i is not None and (h := shingles(text)) is not None:
+                    ids.append(i)
+                    sets.append(h)
+            sizes = np.array([len(h) for h in sets], dtype=np.int64)
+            sketch = np.empty((len(sets), symbols), np.uint16)
+            if sets:
+                flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                for k, salt in enumerate(salts):
+                    sketch[:, k] = np.minimum.reduceat(_mixed(flat * salt), starts) & np.uint64(0xFFFF)
+            digests = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["id", "digest", "n", "sketch"])
 
     return run
 
 
-def _variants(flat: np.ndarray, sizes: np.ndarray, salts: np.ndarray, slot: np.ndarray, segments: int, width: int) -> np.ndarray:
-    """(records, segments * width) keys: of each segment, the variants that lack one symbol."""
-    n = len(sizes)
-    if not n:
-        return np.empty((0, segments * width), np.uint64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    symbols = np.empty((n, segments * width), np.uint64)
-    for k, salt in enumerate(salts):
-        symbols[:, k] = np.minimum.reduceat(_mixed(flat * salt), starts) >> np.uint64(32)
-    symbols = _mixed(symbols.reshape(n, segments, width) * slot[None])
-    keys = symbols.sum(axis=2, dtype=np.uint64)[:, :, None] - symbols
-    return _mixed(keys + _MIX * (np.arange(segments * width, dtype=np.uint64).reshape(segments, width) + np.uint64(1))[None]).reshape(n, -1)
+def _variants(segments: int, width: int, seed: int):
+    """sketch -> a row for each segment variant that lacks one symbol: ``(key, id)``."""
+    slot = np.random.default_rng(seed + 1).integers(1, 1 << 63, size=(segments, width), dtype=np.uint64) | np.uint64(1)
+    place = (_MIX * (np.arange(segments * width, dtype=np.uint64) + np.uint64(1))).reshape(segments, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).astype(np.uint64).reshape(n, segments, width)
+            mixed = _mixed((symbols + np.uint64(1)) * slot[None])
+            keys = _mixed(mixed.sum(axis=2, dtype=np.uint64)[:, :, None] - mixed + place[None])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), segments * width))], names=["key", "id"])
 
+    return run
 
-def signatures(df: DataFrame, id_col: str, text: Column, shingle: int = 5, min_words: int = 0, segments: int = 20, width: int = 4, seed: int = 7) -> DataFrame:
-    """``(id, digest, shingles, keys)`` of every row with at least ``min_words`` (and ``shingle``) words; others have no row. Written once."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_signer(shingle, min_words, segments, width, seed), "id long, digest binary, shingles array<long>, keys array<long>"))
 
+def _sets(shingle: int, min_words: int):
+    """text -> ``(id, shingles)`` with 32 bits of each hash, by which a similarity is off by at most the set's size over 2**32."""
 
-def _class_table(signed: DataFrame) -> DataFrame:
-    """One row per distinct set: ``(class_id, digest, shingles, keys)``; ``class_id`` is its smallest id."""
-    least = signed.groupBy("digest").agg(F.min("id").alias("id")).withColumn("class_id", F.col("id"))
-    whole = signed.join(least, ["digest", "id"]).select("class_id", "digest", "shingles", "keys")
-    return materialize(whole.dropDuplicates(["class_id"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = _shingler(shingle, min_words)
+        for batch in batches:
+            found = [(i, h) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (h := shingles(t)) is not None]
+            flat = np.concatenate([h for _, h in found]).astype(np.uint32).view(np.int32) if found else np.empty(0, np.int32)
+            offsets = np.concatenate([[0], np.cumsum([len(h) for _, h in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+
+    return run
+
+
+@dataclass
+class Signed:
+    """A signed table: its rows, one row per id and one row per distinct set."""
+
+    rows: DataFrame  # id, text
+    members: DataFrame  # id, class_id
+    classes: DataFrame  # class_id, n, sketch
+    shingle: int
+    min_words: int
+    segments: int
+    width: int
+    seed: int
+
+
+def sign(df: DataFrame, id_col: str, text: Column, shingle: int = 5, min_words: int = 0, segments: int = 12, width: int = 4, seed: int = 7) -> Signed:
+    """Sign every row with at least ``min_words`` (and ``shingle``) words. Equal sets form a class, named by its smallest id; only it keeps a sketch."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("text"))
+    signed = rows.mapInArrow(_signer(shingle, min_words, segments * width, seed), "id long, digest binary, n int, sketch binary").persist(StorageLevel.MEMORY_AND_DISK)
+    classes = signed.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).persist(StorageLevel.MEMORY_AND_DISK)
+    members = signed.select("id", "digest").distinct().join(classes.select("digest", "class_id"), "digest").select("id", "class_id")
+    return Signed(rows, members, classes.select("class_id", "n", "sketch"), shingle, min_words, segments, width, seed)
 
 
-def _class_links(classes: DataFrame, similarity: float) -> DataFrame:
+def class_links(signed: Signed, similarity: float) -> DataFrame:
     """``(a, b, likeness)``, a < b, for all found pairs of classes whose sets share ``similarity`` of their union.
 
-    The join on the variants' key is a sort-merge join of narrow rows, whose hot keys AQE splits over tasks; sizes that rule a pair out are
-    compared in it. Sets are fetched for candidates only.
+    The join on the variants' key is of rows of two numbers; AQE splits a hot key's rows over tasks, and no key is capped. Candidates
+    whose sizes rule them out go before sets are made, again from the texts, for what is left only.
     """
-    keyed = classes.select(F.col("class_id").alias("id"), F.size("shingles").alias("n"), F.explode("keys").alias("key"))
+    keyed = signed.classes.select("class_id", "sketch").mapInArrow(_variants(signed.segments, signed.width, signed.seed), "key long, id long")
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = (F.col("a.n") >= similarity * F.col("b.n")) & (F.col("b.n") >= similarity * F.col("a.n"))
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near)
-    candidates = materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    ends = candidates.select(F.col("a").alias("class_id")).union(candidates.select("b")).distinct()
-    sets = classes.join(ends, "class_id", "left_semi").select("class_id", "shingles")
-    pairs = candidates.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    measured = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("c"))
+    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    found = materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    sized = found.join(signed.classes.select(F.col("class_id").alias("a"), F.col("n").alias("na")), "a").join(signed.classes.select(F.col("class_id").alias("b"), F.col("n").alias("nb")), "b")
+    candidates = materialize(sized.where((F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))))
+    ends = materialize(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
+    wanted = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
+    texts = signed.rows.join(wanted, "id", "left_semi").mapInArrow(_sets(signed.shingle, signed.min_words), "id long, shingles array<int>").dropDuplicates(["id"])
+    texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    measured = pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
     return measured.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("likeness")).where(F.col("likeness") >= similarity)
 
 
@@ -137,10 +172,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text: Column, similarity: f
     An id delivered twice counts once. Null, empty and short texts and null ids have no pair; an empty table gives no rows.
     The number of rows is that of the pairs asked for; :func:`near_duplicate_groups` gives one row per record instead.
     """
-    signed = signatures(df, id_col, text, shingle, min_words, **sketch)
-    classes = _class_table(signed)
-    links = materialize(_class_links(classes, similarity))
-    member = signed.select("id", "digest").distinct().join(classes.select("digest", "class_id"), "digest").select("id", "class_id")
+    signed = sign(df, id_col, text, shingle, min_words, **sketch)
+    links = materialize(class_links(signed, similarity))
+    member = signed.members
     across = links.join(member.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "likeness")
     m, o = member.alias("m"), member.alias("o")
     within = m.join(o, (F.col("m.class_id") == F.col("o.class_id")) & (F.col("m.id") < F.col("o.id"))).select(F.col("m.id").alias("x"), F.col("o.id").alias("y"), F.lit(1.0).alias("likeness"))
@@ -154,12 +188,10 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, similarity:
     ``class_id`` names the records with the same shingle set, ``group_id`` the smallest id of the chain of similar classes, ``links``
     the number of other classes similar to the record's. Nothing is expanded into pairs of copies.
     """
-    signed = signatures(df, id_col, text, shingle, min_words, **sketch)
-    classes = _class_table(signed)
-    links = materialize(_class_links(classes, similarity))
+    signed = sign(df, id_col, text, shingle, min_words, **sketch)
+    links = materialize(class_links(signed, similarity))
     group = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     linked = group.join(degree, "node")
-    member = signed.select("id", "digest").distinct().join(classes.select("digest", "class_id"), "digest")
-    out = member.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
+    out = signed.members.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
