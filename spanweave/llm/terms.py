@@ -1,12 +1,14 @@
 """How often, and in how many records, every distinct term occurs: external sort and run-length scan.
 
-Every occurrence is a row (term, record, position). The rows are range-partitioned and sorted by all three, so a term that a third
-of the corpus holds is spread over as many partitions as its rows fill, none of which must fit in memory. A scan over each sorted
-partition counts runs; a term's partial counts are added up at the end, one row per term and partition.
+Each record gives a row (term, record, n) for each of its terms, n being its count there. The rows are range-partitioned and sorted by term and
+record, so a term that a third of the corpus holds is spread over as many partitions as its rows fill, none of which must fit in
+memory. A scan over each sorted partition counts runs; a term's partial counts are added up at the end, one row per term and partition.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,34 +17,56 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.functions.text import words
+_RUN = re.compile(r"[^\W_]+")
+_TEXTS = 2_000
+
+
+def record_words(text: str) -> list[str]:
+    """Maximal runs of letters or digits, lower-cased. Lower-casing first is faster, and the same if no letter grows and no sigma looks beyond its word."""
+    low = text.lower()
+    if len(low) == len(text) and "\u03a3" not in text:
+        return _RUN.findall(low)
+    return [w.lower() for w in _RUN.findall(text)]
+
+
+def _record_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, text) -> (term, record, n)."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _TEXTS):
+            part = batch.slice(k, _TEXTS)
+            terms, counts, sizes = [], [], []
+            for text in part.column(1).to_pylist():
+                c = Counter(record_words(text)) if text else {}
+                terms.extend(c.keys())
+                counts.extend(c.values())
+                sizes.append(len(c))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(counts, pa.int32())], names=["term", "record", "n"])
 
 
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (term, record, pos) -> (term, occurrences, records) per run of a batch; a run may go on in the next batch."""
+    """Sorted (term, record, n descending) -> (term, occurrences, records) per run of a batch; a run may go on in the next batch.
+
+    Only the first row of a (term, record) run counts: the others are deliveries of the same record.
+    """
     last: tuple | None = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        term, record, pos = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        new_term, new_record, new_pos = np.ones(n, bool), np.ones(n, bool), np.ones(n, bool)
+        term, record, count = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        new_term, new_record = np.ones(n, bool), np.ones(n, bool)
         new_term[1:] = pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         new_record[1:] = new_term[1:] | (record[1:] != record[:-1])
-        new_pos[1:] = new_record[1:] | (pos[1:] != pos[:-1])
         if last is not None and last[0] == term[0].as_py():
             new_record[0] = last[1] != record[0]
-            new_pos[0] = new_record[0] or last[2] != pos[0]
-        last = (term[n - 1].as_py(), record[-1], pos[-1])
+        last = (term[n - 1].as_py(), record[-1])
         starts = np.flatnonzero(new_term)
-        yield pa.RecordBatch.from_arrays(
-            [term.take(pa.array(starts)), pa.array(np.add.reduceat(new_pos.astype(np.int64), starts)), pa.array(np.add.reduceat(new_record.astype(np.int64), starts))],
-            names=["term", "occurrences", "records"],
-        )
+        occurrences = np.add.reduceat(np.where(new_record, count, 0).astype(np.int64), starts)
+        yield pa.RecordBatch.from_arrays([term.take(pa.array(starts)), pa.array(occurrences), pa.array(np.add.reduceat(new_record.astype(np.int64), starts))], names=["term", "occurrences", "records"])
 
 
-def _count(occurrences: DataFrame) -> DataFrame:
-    ordered = occurrences.repartitionByRange("term", "record", "pos").sortWithinPartitions("term", "record", "pos")
+def _count(pairs: DataFrame) -> DataFrame:
+    ordered = pairs.repartitionByRange("term", "record").sortWithinPartitions(F.col("term"), F.col("record"), F.desc("n"))
     partial = ordered.mapInArrow(_scan_runs, "term string, occurrences long, records long")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
@@ -50,13 +74,12 @@ def _count(occurrences: DataFrame) -> DataFrame:
 def term_frequencies(df: DataFrame, id_col: str, text: Column, rare_below: int = 3, common_above: float = 0.3) -> DataFrame:
     """``(term, occurrences, records, kind)`` for every word of ``text``.
 
-    Records are distinct non-null ids; a record delivered several times counts once (the same word at the same place is one
-    occurrence). ``kind`` is ``rare`` if fewer than ``rare_below`` records hold the term, else ``common`` if more than ``common_above`` of
+    Records are distinct non-null ids; a record delivered several times counts once, a term as often as in the delivery that has it most. ``kind`` is ``rare`` if fewer than ``rare_below`` records hold the term, else ``common`` if more than ``common_above`` of
     all records do (those without text included), else ``useful``. Null and empty texts have no terms; an empty table gives no rows.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("record"), words(text).alias("w")).where("record is not null")
+    rows = df.select(F.col(id_col).cast("long").alias("record"), text.cast("string").alias("text")).where("record is not null")
     total = df.select(F.col(id_col).cast("long").alias("r")).where("r is not null").distinct().count()
-    counted = _count(rows.select("record", F.posexplode("w").alias("pos", "term")).select("term", "record", "pos"))
+    counted = _count(rows.mapInArrow(_record_terms, "term string, record long, n int"))
     kind = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * total, "common").otherwise("useful")
     return counted.withColumn("kind", kind)
 
@@ -71,7 +94,7 @@ def value_frequencies(df: DataFrame, id_col: str, columns: list[str], rare_below
     total = ids.distinct().count()
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     rows = df.select(F.col(id_col).cast("long").alias("record"), F.explode(pairs).alias("p")).where("record is not null and p.value is not null")
-    counted = _count(rows.select(F.concat_ws("\x1f", "p.field", "p.value").alias("term"), "record", F.lit(0).alias("pos")))
+    counted = _count(rows.select(F.concat_ws("\x1f", "p.field", "p.value").alias("term"), "record", F.lit(1).alias("n")))
     kind = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * total, "common").otherwise("useful")
     parts = F.split("term", "\x1f", 2)
     return counted.select(parts[0].alias("field"), parts[1].alias("value"), "occurrences", "records", kind.alias("kind"))
