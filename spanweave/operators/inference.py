@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.operators.components import connected_components
@@ -17,6 +17,8 @@ from spanweave.session import materialize
 
 #: Vertices of a component that one task solves; larger trees go level by level through joins.
 KERNEL_VERTICES = 200_000
+#: Edges of a component that one task floods or cuts; larger ones go round by round through joins.
+KERNEL_EDGES = 1_000_000
 
 
 def factor(weight: Column, receiver: Column) -> tuple[Column, Column]:
@@ -103,16 +105,26 @@ def _flood_kernel(rounds: int, normalize: bool):
     return run
 
 
-def flood_exact(graph: Graph, threshold: int | None = None, normalize: bool = False) -> DataFrame:
+def flood_exact(graph: Graph, threshold: int | None = None, normalize: bool = False, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """Messages after ``threshold + 1`` rounds, by default twice the number of edges of the whole graph, plus one; without normalisation.
 
     Unnormalised messages of long runs on graphs with cycles grow without bound until only the influence decides; :func:`flood` with ``normalize`` is the
-    stable variant. Components are independent and solved in one task each, whose memory is that of the component's edges.
+    stable variant. Components are independent; those of up to ``kernel_edges`` edges are solved in one task each, larger ones by joins, round after round.
     """
     rounds = (2 * graph.edges.count() if threshold is None else threshold) + 1
     messages = start_messages(graph)
     comp = connected_components(graph.edges.select("src", "dst"))
-    with_comp = messages.join(comp.select(F.col("node").alias("src"), "component"), "src")
+    with_comp = materialize(messages.join(comp.select(F.col("node").alias("src"), "component"), "src"))
+    large = with_comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * kernel_edges).select("component")
+    if not large.isEmpty():
+        inside = with_comp.join(large, "component", "left_semi").where("src < dst")
+        rest = with_comp.join(large, "component", "left_anti")
+        looped = flood(Graph(graph.vertices, materialize(inside.select("src", "dst", "weight"))), rounds, normalize, digits=None)
+        return _flood_components(rest, rounds, normalize).unionByName(looped)
+    return _flood_components(with_comp, rounds, normalize)
+
+
+def _flood_components(with_comp: DataFrame, rounds: int, normalize: bool) -> DataFrame:
     return with_comp.groupBy("component").applyInPandas(_flood_kernel(rounds, normalize), "src long, dst long, weight double, label int, m_neg double, m_pos double")
 
 
@@ -329,13 +341,15 @@ def _cut_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(vid)
     vid = vid[order]
     a, b = np.searchsorted(vid, e["src"].to_numpy().astype(np.int64)), np.searchsorted(vid, e["dst"].to_numpy().astype(np.int64))
-    side, flow = max_flow_side(len(vid), v["c_pos"].to_numpy()[order], v["c_neg"].to_numpy()[order], list(zip(a.tolist(), b.tolist(), e["weight"].tolist(), strict=True)))
-    return pd.DataFrame({"rep": int(pdf["rep"].iloc[0]), "vid": vid, "side": side.astype("int32"), "flow": np.where(np.arange(len(vid)) == 0, flow, 0.0)})
+    side, _ = max_flow_side(len(vid), v["c_pos"].to_numpy()[order], v["c_neg"].to_numpy()[order], list(zip(a.tolist(), b.tolist(), e["weight"].tolist(), strict=True)))
+    return pd.DataFrame({"rep": int(pdf["rep"].iloc[0]), "vid": vid, "side": side.astype("int32")})
+
 
+def _cuts(vertices: DataFrame, edges: DataFrame, cuts: int, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """``(rep, vid, side)`` for ``edges(rep, src, dst, weight)`` with rep 0 to ``cuts``: a minimum cut per replicate, of all the one with the smallest side 1.
 
-def _cuts(vertices: DataFrame, edges: DataFrame, cuts: int) -> DataFrame:
-    """``(rep, vid, side, flow)`` for ``edges(rep, src, dst, weight)`` with rep 0 to ``cuts``: a minimum cut per replicate, its flows to be summed. A component
-    of unlabelled vertices is one task, whose memory is that of the component's edges."""
+    A component of unlabelled vertices with up to ``kernel_edges`` edges is one task; a larger one is cut by parallel push-relabel over joins.
+    """
     lab = vertices.select("vid", "label")
     free = lab.where("label < 0").select("vid")
     ends = edges.join(lab.select(F.col("vid").alias("src"), F.col("label").alias("ls")), "src").join(lab.select(F.col("vid").alias("dst"), F.col("label").alias("ld")), "dst")
@@ -346,15 +360,68 @@ def _cuts(vertices: DataFrame, edges: DataFrame, cuts: int) -> DataFrame:
     out = ends.where("ls < 0 and ld >= 0").select("rep", F.col("src").alias("vid"), F.col("ld").alias("t"), "weight")
     out = out.unionAll(ends.where("ld < 0 and ls >= 0").select("rep", F.col("dst").alias("vid"), F.col("ls").alias("t"), "weight"))
     caps = out.groupBy("rep", "vid").agg(F.sum(F.when(F.col("t") == 1, F.col("weight")).otherwise(0.0)).alias("c_pos"), F.sum(F.when(F.col("t") == 0, F.col("weight")).otherwise(0.0)).alias("c_neg"))
-    rows = comp.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(cuts)))).join(caps, ["rep", "vid"], "left").fillna(0.0, ["c_pos", "c_neg"])
-    rows = rows.select("rep", "component", F.col("vid").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "c_pos", "c_neg")
-    links = inner.join(comp.select(F.col("vid").alias("src"), "component"), "src").select("rep", "component", "src", "dst", "weight", F.lit(0.0).alias("c_pos"), F.lit(0.0).alias("c_neg"))
-    return rows.unionByName(links).groupBy("rep", "component").applyInPandas(_cut_kernel, "rep int, vid long, side int, flow double")
+    every = comp.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(cuts)))).join(caps, ["rep", "vid"], "left").fillna(0.0, ["c_pos", "c_neg"])
+    links = inner.join(comp.select(F.col("vid").alias("src"), "component"), "src")
+    large = materialize(links.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > (cuts + 1) * kernel_edges).select("component"))
+    if large.isEmpty():
+        return _cut_components(every, links)
+    small = _cut_components(every.join(large, "component", "left_anti"), links.join(large, "component", "left_anti"))
+    return small.unionByName(_push_relabel(every.join(large, "component", "left_semi"), links.join(large, "component", "left_semi")))
+
+
+def _cut_components(every: DataFrame, links: DataFrame) -> DataFrame:
+    rows = every.select("rep", "component", F.col("vid").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "c_pos", "c_neg")
+    inside = links.select("rep", "component", "src", "dst", "weight", F.lit(0.0).alias("c_pos"), F.lit(0.0).alias("c_neg"))
+    return rows.unionByName(inside).groupBy("rep", "component").applyInPandas(_cut_kernel, "rep int, vid long, side int")
+
+
+def _push_relabel(every: DataFrame, links: DataFrame, max_rounds: int = 100_000, pulses: int = 4) -> DataFrame:
+    """Parallel push-relabel (Goldberg, Tarjan 1988) as joins, all components and replicates at once.
+
+    Flow runs from terminal 0 to terminal 1: each vertex starts with the excess of its weight to label 0, and ``t`` is what it can still pass to label 1.
+    A round finds the vertices' residual distances to terminal 1 breadth-first, then lets active vertices push along arcs that come one step
+    nearer, a few times. When no active vertex has a distance, the preflow is maximal, and the vertices with a distance are the smallest side 1 of any
+    minimum cut.
+    """
+    key = ["rep", "vid"]
+    eps = 1e-12
+    through = F.least("c_pos", "c_neg")
+    nodes = materialize(every.select("rep", "vid", (F.col("c_neg") - through).alias("excess"), (F.col("c_pos") - through).alias("t")))
+    arcs = links.select("rep", F.col("src").alias("vid"), F.col("dst").alias("to"), F.col("weight").alias("cap"))
+    arcs = materialize(arcs.unionAll(links.select("rep", F.col("dst").alias("vid"), F.col("src").alias("to"), F.col("weight").alias("cap"))))
+    for _ in range(max_rounds):
+        level = materialize(nodes.where(F.col("t") > eps).select(*key, F.lit(1).alias("d")))
+        seen, front, depth = level, level, 1
+        while not front.isEmpty():
+            depth += 1
+            back = arcs.where(F.col("cap") > eps).join(front.select("rep", F.col("vid").alias("to")), ["rep", "to"]).select(*key).distinct()
+            front = materialize(back.join(seen, key, "left_anti").withColumn("d", F.lit(depth)))
+            seen = materialize(seen.unionByName(front))
+        reach = seen
+        if nodes.where(F.col("excess") > eps).join(reach, key).isEmpty():
+            return nodes.join(reach, key, "left").select("rep", "vid", F.col("d").isNotNull().cast("int").alias("side"))
+        for _ in range(pulses):
+            # into the terminal first
+            nodes = nodes.withColumn("f", F.least("excess", "t")).select(*key, (F.col("excess") - F.col("f")).alias("excess"), (F.col("t") - F.col("f")).alias("t"))
+            active = nodes.where(F.col("excess") > eps).join(reach, key)
+            down = arcs.where(F.col("cap") > eps).join(active, key).join(reach.select("rep", F.col("vid").alias("to"), F.col("d").alias("dt")), ["rep", "to"]).where("dt = d - 1")
+            before = F.coalesce(F.sum("cap").over(Window.partitionBy(*key).orderBy("to").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+            flow = down.select(*key, "to", F.greatest(F.lit(0.0), F.least(F.col("cap"), F.col("excess") - before)).alias("f")).where(F.col("f") > 0)
+            flow = materialize(flow)
+            if flow.isEmpty():
+                nodes = materialize(nodes)
+                break
+            moved = flow.unionAll(flow.select("rep", F.col("to").alias("vid"), F.col("vid").alias("to"), (-F.col("f")).alias("f"))).groupBy("rep", "vid", "to").agg(F.sum("f").alias("f"))
+            moved = materialize(moved)
+            arcs = materialize(arcs.join(moved, ["rep", "vid", "to"], "left").select("rep", "vid", "to", (F.col("cap") - F.coalesce("f", F.lit(0.0))).alias("cap")))
+            net = moved.groupBy(*key).agg(F.sum("f").alias("f"))
+            nodes = materialize(nodes.join(net, key, "left").select(*key, (F.col("excess") - F.coalesce("f", F.lit(0.0))).alias("excess"), "t"))
+    raise RuntimeError(f"no minimum cut after {max_rounds} rounds")
 
 
-def mincut_labels(graph: Graph) -> DataFrame:
+def mincut_labels(graph: Graph, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """``(vid, label)``: labelled vertices keep theirs; of all minimum cuts the one with the smallest side of label 1."""
-    cut = _cuts(graph.vertices, graph.edges.select(F.lit(0).alias("rep"), "src", "dst", "weight"), 0)
+    cut = _cuts(graph.vertices, graph.edges.select(F.lit(0).alias("rep"), "src", "dst", "weight"), 0, kernel_edges)
     return graph.vertices.join(cut.select("vid", "side"), "vid", "left").select("vid", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.col("side")).cast("int").alias("label"))
 
 

@@ -66,6 +66,13 @@ def test_mincut_is_minimal(spark, seed):
     assert all(a == b for a, b in zip(labels_of(got), labels) if b >= 0)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_push_relabel_gives_the_same_cut(spark, seed):
+    labels, edges = random_graph(np.random.default_rng(10 + seed), 10, 0.4)
+    for g in (graph(spark, labels, edges), graph(spark, *CUT)):
+        assert labels_of(I.mincut_labels(g)) == labels_of(I.mincut_labels(g, kernel_edges=0))
+
+
 def test_max_flow_kernel_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -125,7 +132,7 @@ def brute_flood(labels, edges, rounds, normalize=False):
 def test_flood_rounds(spark, rounds, normalize):
     g = graph(spark, *LOOP)
     want = brute_flood(*LOOP, rounds, normalize)
-    for df in (I.flood(g, rounds, normalize), I.flood_exact(g, rounds - 1, normalize)):
+    for df in (I.flood(g, rounds, normalize), I.flood_exact(g, rounds - 1, normalize), I.flood_exact(g, rounds - 1, normalize, kernel_edges=0)):
         got = {(r["src"], r["dst"]): (r["m_neg"], r["m_pos"]) for r in df.collect()}
         assert got == want
 
