@@ -100,7 +100,7 @@ def _walk(k: int, steps: int, dims: int):
     return run
 
 
-def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5, trees: int = 10, steps: int = 24, bits: int = 20, seed: int = 11) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5, trees: int = 12, steps: int = 40, bits: int = 20, seed: int = 11) -> DataFrame:
     """``(id, neighbour, distance, rank)``: for every record its ``k`` nearest others by Euclidean distance, ties to the smaller id.
 
     Records are distinct ids whose ``columns`` are all numbers above 0; nulls, NaN, infinities, zeros and negatives leave a record out. A
