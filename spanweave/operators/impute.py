@@ -5,7 +5,9 @@ equations in two passes that send sums only. Categorical targets are quantified
 variate between level and predictor indicators. Rows with a value are donors. A row without one looks up the donors of its group whose predictions are
 nearest to its own, else those of its day, else of the whole table, takes one of them, and gets that donor's observed value.
 
-Donors are indexed by bins of the prediction with a few donors each, so a pool has a fixed bound even if a group holds a third of all rows.
+The nearest are found among all donors: donors and rows in need are sorted by group, target and prediction over ranges of bounded size, and each row in
+need looks at the donors before and after it. Donors beyond a range's borders are carried over, so a group that holds a third of all rows is no more
+than many ranges.
 """
 
 from __future__ import annotations
@@ -14,16 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.session import materialize
+from spanweave.session import materialize, parallelism
 
-#: Prediction bins and donors kept in each, per group: the bound on a pool.
-BINS, PER_BIN = 48, 3
 #: Nearest donors one of which is taken.
 NEAREST = 3
-_POOL = "array<struct<prediction:double,donor:bigint,value:string>>"
+#: Rows of a sorted range, which one task holds.
+RANGE_ROWS = 250_000
+#: Where a donor may be found, nearest first.
+SCOPES = ("group", "day", "all")
+_ORDER = ["scope", "key", "f", "prediction", "h", "id"]
+_BORDER = "part int, tail boolean, scope int, key string, f int, prediction double, id long, value string"
+_FOUND = "id long, f int, scope int, donor long, value string, distance double"
 
 
 def canonical_code(column: str, codes: dict[str, str]) -> Column:
@@ -99,12 +107,98 @@ def _level_scores(xtx: np.ndarray, xty: np.ndarray, counts: np.ndarray) -> np.nd
     return scores
 
 
-def _pools(donors: DataFrame, keys: list[str]) -> DataFrame:
-    """A pool of donors per ``keys``, at most ``BINS * PER_BIN`` entries."""
-    within = Window.partitionBy(*keys, "bin").orderBy(F.xxhash64("id"), "id")
-    kept = donors.withColumn("r", F.row_number().over(within)).where(F.col("r") <= PER_BIN)
-    entry = F.struct(F.col("prediction"), F.col("id").alias("donor"), F.col("value"))
-    return kept.groupBy(*keys).agg(F.collect_list(entry).alias("pool"))
+def _held(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """The range of a task, whose size is bounded."""
+    got = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(got).combine_chunks() if got else None
+
+
+def _pool_of(t: pa.Table, i: int) -> tuple[int, str, int]:
+    return t["scope"][i].as_py(), t["key"][i].as_py(), t["f"][i].as_py()
+
+
+def _segments(t: pa.Table) -> np.ndarray:
+    """A number for each row that grows where scope, key or target change."""
+    change = np.zeros(t.num_rows, bool)
+    for c in ("scope", "key", "f"):
+        x = t[c].combine_chunks()
+        change[1:] |= np.asarray(pc.not_equal(x[1:], x[:-1]))
+    return np.cumsum(change)
+
+
+def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first donors of a range's first pool and the last donors of its last pool."""
+    t = _held(batches)
+    if t is None:
+        return
+    part, pool, need = TaskContext.get().partitionId(), _segments(t), np.asarray(t["need"])
+    head, tail = np.flatnonzero(~need & (pool == pool[0]))[:NEAREST], np.flatnonzero(~need & (pool == pool[-1]))[-NEAREST:]
+    kept = t.take(np.concatenate([head, tail]))
+    cols = [pa.array(np.full(len(kept), part, np.int32)), pa.array(np.arange(len(kept)) >= len(head)), *[kept[c].combine_chunks() for c in ("scope", "key", "f", "prediction", "id", "value")]]
+    yield pa.RecordBatch.from_arrays(cols, names=["part", "tail", "scope", "key", "f", "prediction", "id", "value"])
+
+
+def _scan(borders: list):
+    """Over a sorted range: for each row in need one of the ``NEAREST`` donors of its pool; null where the pool is empty."""
+    borders = sorted(borders, key=lambda r: r["part"])  # stable: within a range the donors keep their order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _held(batches)
+        if t is None:
+            return
+        part, pool, need = TaskContext.get().partitionId(), _segments(t), np.asarray(t["need"])
+        first, last = _pool_of(t, 0), _pool_of(t, t.num_rows - 1)
+        before = [r for r in borders if r["tail"] and r["part"] < part and (r["scope"], r["key"], r["f"]) == first][-NEAREST:]
+        after = [r for r in borders if not r["tail"] and r["part"] > part and (r["scope"], r["key"], r["f"]) == last][:NEAREST]
+        at, asks = np.flatnonzero(~need), np.flatnonzero(need)
+        if not len(asks):
+            return
+        own = t.take(at)
+        of = np.concatenate([np.full(len(before), pool[0]), pool[at], np.full(len(after), pool[-1])])
+        prediction = np.concatenate([[r["prediction"] for r in before], own["prediction"].to_numpy(), [r["prediction"] for r in after]])
+        donor = np.concatenate([np.array([r["id"] for r in before], np.int64), own["id"].to_numpy(), np.array([r["id"] for r in after], np.int64)])
+        value = pa.concat_arrays([pa.array([r["value"] for r in before], pa.string()), own["value"].combine_chunks().cast(pa.string()), pa.array([r["value"] for r in after], pa.string())])
+        wanted, mine = t["prediction"].to_numpy()[asks], pool[asks]
+        right = len(before) + np.searchsorted(at, asks)
+        beside = right[:, None] + np.array([o for k in range(NEAREST) for o in (k, -k - 1)])[None]
+        inside = (beside >= 0) & (beside < len(donor))
+        beside = np.where(inside, beside, 0)
+        if len(donor):
+            inside &= of[beside] == mine[:, None]
+            distance = np.where(inside, np.abs(prediction[beside] - wanted[:, None]), np.inf)
+        else:
+            distance = np.full(beside.shape, np.inf)
+        order = np.argsort(distance, axis=1, kind="stable")[:, :NEAREST]
+        count = np.minimum(inside.sum(1), NEAREST)
+        rows, some = np.arange(len(asks)), count > 0
+        chosen = order[rows, np.mod(t["pick"].to_numpy()[asks], np.maximum(count, 1))]
+        got = pa.array(beside[rows, chosen], mask=~some)
+        ask = t.take(asks)
+        cols = [ask["id"].combine_chunks(), ask["f"].combine_chunks(), ask["scope"].combine_chunks(), pa.array(donor).take(got), value.take(got), pa.array(distance[rows, chosen], mask=~some)]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "f", "scope", "donor", "value", "distance"])
+
+    return run
+
+
+def _nearest(donors: DataFrame, need: DataFrame, ranges: int) -> DataFrame:
+    """``donors`` and ``need(id, grp, day, f, prediction)``, the former with ``value`` -> a row of ``_FOUND`` for every row of ``need``.
+
+    The pool is the row's group, if that has donors of the target, else its day, else all. Ties in the distance go to the neighbours in the order of id hashes.
+    """
+    has = [donors.where(f"{c} is not null").select(c, "f").distinct().withColumn(f"has_{c}", F.lit(True)) for c in ("grp", "day")]
+    scope = F.when(F.col("has_grp"), 0).when(F.col("has_day"), 1).otherwise(2)
+    keys = F.when(F.col("has_grp"), F.col("grp")).when(F.col("has_day"), F.col("day").cast("string")).otherwise("")
+    placed = materialize(need.join(has[0], ["grp", "f"], "left").join(has[1], ["day", "f"], "left").select("id", "f", "prediction", scope.alias("scope"), keys.alias("key")))
+    asked = placed.select("scope", "key", "f").distinct()
+    sources = [donors.where("grp is not null").withColumn("key", F.col("grp")), donors.where("day is not null").withColumn("key", F.col("day").cast("string")), donors.withColumn("key", F.lit(""))]
+    parts = [s.join(asked.where(F.col("scope") == i).drop("scope"), ["key", "f"], "left_semi").select("id", "f", "prediction", F.lit(i).alias("scope"), "key", "value", F.lit(False).alias("need")) for i, s in enumerate(sources)]
+    both = placed.select("id", "f", "prediction", "scope", "key", F.lit(None).cast("string").alias("value"), F.lit(True).alias("need"))
+    for p in parts:
+        both = both.unionByName(p)
+    rows = both.withColumns({"h": F.xxhash64("id"), "pick": F.xxhash64("id", "f")})
+    ordered = materialize(rows.repartitionByRange(ranges, *_ORDER).sortWithinPartitions(*_ORDER))
+    borders = ordered.mapInArrow(_borders, _BORDER).collect()  # at most 2 * NEAREST donors a range
+    return ordered.mapInArrow(_scan(borders), _FOUND)
 
 
 def fill_log(df: DataFrame, id_col: str, targets: list[str], predictors: list[str], codes: dict[str, dict[str, str]], group_col: str | None = None, time_col: str | None = None) -> DataFrame:
@@ -112,7 +206,7 @@ def fill_log(df: DataFrame, id_col: str, targets: list[str], predictors: list[st
 
     Ids count once. A target named in ``codes`` is categorical, missing if it is no code or meaning of it; another target is numeric, missing if null or
     NaN. ``donor_group`` tells where the donor was found (``group``, ``day`` or ``all``); a target nobody has a value of stays unfilled, with null
-    value and donor. A missing or hot group is fine; ties between donors are broken by a hash of the ids.
+    value and donor. A missing or hot group is fine; ties between donors are broken by the order of id hashes.
     """
     level_of = {c: {code: i + 1 for i, code in enumerate(sorted(set(codes.get(c, {}).values())))} for c in dict.fromkeys([*predictors, *targets])}
     categorical = [t in codes for t in targets]
@@ -204,18 +298,12 @@ def fill_log(df: DataFrame, id_col: str, targets: list[str], predictors: list[st
     for j, t in enumerate(targets):
         shown = F.element_at(F.array(*[F.lit(c) for c in sorted(level_of[t])]), F.col("y").cast("int")) if categorical[j] and level_of[t] else F.col("y").cast("string")
         value = F.when(F.col("f") == j, shown).otherwise(value)
-    bins = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("prediction") + 3) / 6 * BINS)))  # predictions are of standard scores
-    donors = long.where("y is not null").select("id", "grp", "day", "f", "prediction", value.alias("value"), bins.alias("bin"))
-    in_group = _pools(donors.where("grp is not null"), ["grp", "f"]).withColumnRenamed("pool", "group_pool")
-    in_day = _pools(donors.where("day is not null"), ["day", "f"]).withColumnRenamed("pool", "day_pool")
-    in_all = _pools(donors, ["f"]).withColumnRenamed("pool", "all_pool")  # a row per target
+    donors = long.where("y is not null").select("id", "grp", "day", "f", "prediction", value.alias("value"))
     need = long.where("y is null").select("id", "grp", "day", "f", "prediction")
-    met = need.join(in_group, ["grp", "f"], "left").join(in_day, ["day", "f"], "left").join(F.broadcast(in_all), "f", "left")
-    pool = F.coalesce("group_pool", "day_pool", "all_pool")
-    near = F.slice(F.array_sort(F.transform(pool, lambda e: F.struct(F.abs(e["prediction"] - F.col("prediction")).alias("distance"), F.xxhash64(e["donor"], F.col("id")).alias("h"), e["donor"].alias("donor"), e["value"].alias("value")))), 1, NEAREST)
-    picked = met.withColumn("near", near).withColumn("e", F.get("near", F.pmod(F.xxhash64("id", "f"), F.size("near")).cast("int")))
-    where = F.when(F.col("group_pool").isNotNull(), "group").when(F.col("day_pool").isNotNull(), "day").when(F.col("all_pool").isNotNull(), "all")
-    return picked.select("id", F.get(names, F.col("f")).alias("field"), F.col("e.value").alias("value"), F.col("e.donor").alias("donor_id"), where.alias("donor_group"), F.col("e.distance").alias("distance"))
+    ranges = max(parallelism(df.sparkSession), -(-len(SCOPES) * long.count() // RANGE_ROWS))
+    found = _nearest(donors, need, ranges)
+    where = F.when(F.col("donor").isNotNull(), F.get(F.array(*[F.lit(x) for x in SCOPES]), F.col("scope")))
+    return found.select("id", F.get(names, F.col("f")).alias("field"), "value", F.col("donor").alias("donor_id"), where.alias("donor_group"), "distance")
 
 
 def fill_missing(df: DataFrame, id_col: str, targets: list[str], predictors: list[str], codes: dict[str, dict[str, str]], group_col: str | None = None, time_col: str | None = None) -> DataFrame:

@@ -58,3 +58,21 @@ def test_code_tables(spark):
     assert impute.code_tables(codes) == {"f": {"a": "a", "almond": "a", "b": "b"}}
     got = spark.createDataFrame([(" ALMOND\t",), ("b",), ("?",), (None,), ("",)], "f string").select(impute.canonical_code("f", {"a": "a", "almond": "a", "b": "b"})).collect()
     assert [r[0] for r in got] == ["a", "b", None, None, None]
+
+
+def test_donors_are_the_nearest_of_all(spark):
+    rows = [(1000 * lot + i, f"L{lot}", "a", "r", float(i + 37 * lot * lot), f"2024-01-0{1 + lot % 2}") for lot in range(4) for i in range(150 + 50 * lot)]
+    need = [(10_000 + i, lot, "a", "r", None, day) for i, (lot, day) in enumerate([(f"L{i % 4}", "2024-01-01") for i in range(40)] + [(None, "2024-01-02"), ("alone", "2024-01-01"), (None, None)] * 5)]
+    log = {r["id"]: r for r in impute.fill_log(table(spark, rows + need), "id", ["size"], ["hue"], CODES, "lot", "day").collect()}
+    assert set(log) == {r[0] for r in need}
+    mean = sum(r[4] for r in rows) / len(rows)
+    sd = (sum(r[4] ** 2 for r in rows) / len(rows) - mean**2) ** 0.5
+    z = {r[0]: (r[4] - mean) / sd for r in rows}
+    total = {f"L{lot}": (sum(z[r[0]] for r in rows if r[1] == f"L{lot}"), 150 + 50 * lot) for lot in range(4)}
+    own = {r[0]: (total[r[1]][0] - z[r[0]]) / total[r[1]][1] for r in rows}  # all rows have one predictor level: the prediction is linear in this mean
+    for i, lot, _, _, _, day in need:
+        pool, name = ([r[0] for r in rows if r[1] == lot], "group") if lot in total else ([r[0] for r in rows if r[5] == day], "day") if day else (list(own), "all")
+        at = total[lot][0] / (total[lot][1] + 1) if lot in total else 0.0
+        third = sorted(abs(own[j] - at) for j in pool)[2]
+        assert log[i]["donor_group"] == name and log[i]["donor_id"] in pool
+        assert abs(own[log[i]["donor_id"]] - at) <= third + 1e-9
