@@ -2,7 +2,7 @@
 
 Features are standardised and reduced to the principal directions that hold most of the variance; mixtures of several sizes are fitted at
 once by expectation-maximisation with regularised covariances, every iteration being one pass over all rows that sends sums only; the
-Bayesian information criterion picks the size. Members of highest density represent a cluster.
+Bayesian information criterion picks the size, and larger sizes are added until it has risen twice. Members of highest density represent a cluster.
 
 Chain clusters (:func:`chain_clusters`) use the mixture as a partition for an exact linking step: a record is placed in its own component and in every
 component that may own a record within reach, so each link is seen inside a component.
@@ -11,7 +11,7 @@ component that may own a record within reach, so each link is seen inside a comp
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,12 @@ from spanweave.session import materialize
 
 #: Rows with the smallest id hashes that the starting means are chosen from; the fit itself reads all rows.
 START_ROWS = 2000
+#: Starting rows for each component, where there are more than START_ROWS over this.
+START_EACH = 20
+#: Sizes that are fitted first; then two more at a time, up to twice the largest, until the two largest are both worse than the best.
+FIRST_SIZES = (1, 2, 4, 8, 12, 16)
+#: Passes after which a size that hasn't settled is an error.
+MOST_PASSES = 1000
 _CHUNK = 16_384
 
 
@@ -37,6 +43,7 @@ class Mixture:
     covariances: np.ndarray
     bic: dict[int, float]
     rows: int
+    passes: dict[int, int] = field(default_factory=dict)  # of EM, by size
 
     @property
     def factors(self) -> np.ndarray:
@@ -58,8 +65,11 @@ class Mixture:
 
 def _log_joint(z, centres, factors, constants):
     """(rows, components) log of weight times density."""
-    m = np.einsum("kij,nkj->nki", factors, z[:, None, :] - centres[None])
-    return constants - 0.5 * np.einsum("nki,nki->nk", m, m)
+    out = np.empty((len(z), len(centres)))
+    for k, (centre, factor) in enumerate(zip(centres, factors, strict=True)):
+        m = (z - centre) @ factor.T
+        out[:, k] = constants[k] - 0.5 * np.einsum("ni,ni->n", m, m)
+    return out
 
 
 def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -91,20 +101,23 @@ def _moments(x: np.ndarray) -> np.ndarray:
 def _start(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k-means++ seeds refined by a few Lloyd rounds on the bounded sample."""
     centres = [sample[rng.integers(len(sample))]]
+    d = np.full(len(sample), np.inf)
     for _ in range(k - 1):
-        d = np.min([((sample - c) ** 2).sum(1) for c in centres], axis=0)
+        d = np.minimum(d, ((sample - centres[-1]) ** 2).sum(1))
         centres.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() > 0 else sample[0])
     centres = np.array(centres)
     for _ in range(10):
-        near = ((sample[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        near = ((centres**2).sum(1) - 2 * sample @ centres.T).argmin(1)
         centres = np.array([sample[near == j].mean(0) if (near == j).any() else centres[j] for j in range(k)])
     return centres
 
 
-def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int, ...] = (1, 2, 4, 8, 12, 16), variance: float = 0.95, regular: float = 1e-3, max_iter: int = 15, tolerance: float = 1e-4, seed: int = 3) -> Mixture | None:
+def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int, ...] | None = None, variance: float = 0.95, regular: float = 1e-3, max_iter: int | None = None, tolerance: float = 1e-4, seed: int = 3) -> Mixture | None:
     """Fit on all rows of ``df`` (numbers without nulls); None for an empty table.
 
-    Sizes above the number of starting rows are left out. ``regular`` is added to every covariance's diagonal, so repeated rows and
+    Without ``sizes``, they grow from ``FIRST_SIZES`` until the two largest are both worse than the best, as one may be a poor local optimum; given ones are all there are. Every size is iterated until its mean log
+    likelihood changes by less than ``tolerance`` of it; not settling in ``MOST_PASSES`` is an error. With ``max_iter`` it ends after so many passes.
+    Sizes above the number of rows are left out. ``regular`` is added to every covariance's diagonal, so repeated rows and
     constant features don't collapse a component.
     """
     x = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.xxhash64(id_col).alias("h"))
@@ -130,18 +143,22 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * r), pa.array(z.ravel()))], names=["z"])
 
     z = x.select("x").mapInArrow(project, "z array<float>").persist(StorageLevel.MEMORY_AND_DISK)
-    first = x.orderBy("h").limit(START_ROWS).select("x").collect()
-    sample = ((np.array([f[0] for f in first]) - mean) / scale) @ axes.T
     rng = np.random.default_rng(seed)
-    models = {k: [np.full(k, 1 / k), _start(sample, k, rng), np.tile(np.eye(r) * (1.0 if k == 1 else 0.5), (k, 1, 1))] for k in sizes if k <= max(1, len(sample))}
+
+    def starts(rows: int) -> np.ndarray:
+        first = x.orderBy("h").limit(rows).select("x").collect()
+        return ((np.array([f[0] for f in first]) - mean) / scale) @ axes.T
+
+    sample = starts(START_ROWS)
+    models: dict[int, list] = {}
     likelihood: dict[int, float] = {}
-    settled: set[int] = set()
+    passes: dict[int, int] = {}
     part = 1 + r + r * r
-    try:
-        for _ in range(max_iter):
-            active = [k for k in models if k not in settled]
+
+    def settle(active: list[int]) -> None:
+        for _ in range(max_iter or MOST_PASSES):
             if not active:
-                break
+                return
             params = [(models[k][1], inv := np.linalg.inv(np.linalg.cholesky(models[k][2])), np.log(models[k][0]) + np.log(np.abs(np.linalg.det(inv))) - 0.5 * r * np.log(2 * np.pi)) for k in active]
 
             def expect(rows: np.ndarray, params=params) -> np.ndarray:
@@ -157,7 +174,8 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
 
             sums = _summed(z, expect, sum(1 + k * part for k in active))
             at = 0
-            for k in active:
+            for k in list(active):
+                passes[k] = passes.get(k, 0) + 1
                 new, s = sums[at] / n, sums[at + 1 : at + 1 + k * part].reshape(k, part)
                 at += 1 + k * part
                 mass = np.maximum(s[:, 0], 1e-9)
@@ -167,14 +185,30 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
                 dead = s[:, 0] < 1e-6
                 spread[dead], centres[dead] = np.eye(r), models[k][1][dead]
                 if k in likelihood and abs(new - likelihood[k]) < tolerance * max(1.0, abs(new)):
-                    settled.add(k)
+                    active.remove(k)
                 likelihood[k] = new
                 models[k] = [mass / mass.sum(), centres, spread + regular * np.eye(r)]
+        if active and max_iter is None:
+            raise RuntimeError(f"mixtures of {active} components have not settled in {MOST_PASSES} passes")
+
+    def criterion(k: int) -> tuple[float, int]:
+        return -2 * likelihood[k] * n + (k - 1 + k * r + k * r * (r + 1) / 2) * np.log(n), k
+
+    wanted = FIRST_SIZES if sizes is None else sizes
+    try:
+        while True:
+            if len(sample) < min(n, START_EACH * max(wanted)):
+                sample = starts(START_EACH * max(wanted))
+            fresh = [k for k in wanted if k <= max(1, len(sample))]
+            models |= {k: [np.full(k, 1 / k), _start(sample, k, rng), np.tile(np.eye(r) * (1.0 if k == 1 else 0.5), (k, 1, 1))] for k in fresh}
+            settle(fresh)
+            largest, best = max(models), min(models, key=criterion)
+            if sizes is not None or sum(k > best for k in models) >= 2 or largest < max(wanted):
+                break
+            wanted = (largest * 3 // 2, largest * 2)
     finally:
         z.unpersist()
-    bic = {k: -2 * likelihood[k] * n + (k - 1 + k * r + k * r * (r + 1) / 2) * np.log(n) for k in models}
-    best = min(bic, key=lambda k: (bic[k], k))
-    return Mixture(mean, scale, axes, *models[best], bic=bic, rows=n)
+    return Mixture(mean, scale, axes, *models[best], bic={k: criterion(k)[0] for k in models}, rows=n, passes=passes)
 
 
 def _usable(df: DataFrame, id_col: str, columns: list[str], positive: bool) -> DataFrame:
@@ -325,7 +359,7 @@ def chain_clusters(df: DataFrame, id_col: str, columns: tuple[str, str], reach:
     """
     cols = list(columns)
     rows = materialize(_usable(df, id_col, cols, positive=True))
-    model = fit_mixture(rows, "id", cols, **({"variance": 1.0, "sizes": (1, 2, 3, 4, 6)} | fit))
+    model = fit_mixture(rows, "id", cols, **({"variance": 1.0, "sizes": (1, 2, 3, 4, 6), "max_iter": 15} | fit))
     schema = "id long, component int, cx long, cy long, x double, y double"
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.col("id").alias("cluster_id"))

@@ -92,6 +92,17 @@ def test_mixture_finds_groups(spark):
     assert [r["size"] for r in got] == [30] * 3 and sorted(r["id"] for r in got) == [0, 1, 2]
 
 
+def test_sizes_grow_until_the_criterion_rises(spark):
+    rng = np.random.default_rng(2)
+    rows = [(60 * c + i, *map(float, rng.normal((10 * (c % 6), 10 * (c // 6)), 0.3))) for c in range(30) for i in range(60)]
+    model = M.fit_mixture(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"])
+    best = min(model.bic, key=model.bic.get)
+    assert len(model.weights) == best >= 24 and max(model.bic) > best
+    assert set(model.passes) == set(model.bic) and all(1 < p < M.MOST_PASSES for p in model.passes.values())
+    with_few = M.fit_mixture(spark.createDataFrame(rows[:5], "id long, a double, b double"), "id", ["a", "b"])
+    assert max(with_few.bic) <= 5
+
+
 def test_flight_keeps_sums():
     rng = np.random.default_rng(0)
     cat = rng.integers(0, 7, 5000)
