@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -515,10 +516,15 @@ def accuracy(spark, d):
 
 @query()
 def report_average(spark, d):
-    rows = _emb(spark, d)
-    parts = splits.stratified_splits(rows, "id", "y", UNLABELLED, 5)
-    fold = parts.select("fold", "id", "y", F.lit(1).alias("predicted"))
-    report = evaluate.classification_report(fold, ["fold"])
+    rows = materialize(_emb(spark, d))
+    every = materialize(splits.stratified_splits(rows, "id", "y", UNLABELLED, 5))
+    parts = []
+    for fold in range(5):
+        hidden = materialize(experiment.hide_labels(rows, every.where(F.col("fold") == fold)))
+        nodes = graph.number_vertices(hidden, "id", "features", "label")
+        found = graph.influence(nodes).where("influence >= 0").select("vid", F.col("influence").alias("predicted"))
+        parts.append(nodes.select("vid", "id").join(found, "vid").join(hidden.select("id", "y"), "id").select(F.lit(fold).alias("fold"), "y", "predicted"))
+    report = evaluate.classification_report(reduce(DataFrame.unionByName, parts), ["fold"])
     return evaluate.accumulate_reports(report, [], 5.0).select("bucket", "metric", _r("value"))
 
 

@@ -49,3 +49,12 @@ def test_stream_scoring(spark, tmp_path):
 
 def test_catalog_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_report_average_scores_the_hidden_part(spark, data):
+    from spanweave.plans import catalog
+
+    got = {(r["bucket"], r["metric"]): r["value"] for r in catalog.report_average(spark, data).collect()}
+    rows = catalog._emb(spark, data).count()
+    assert len(got) == 20 and abs(got["micro avg", "support"] - 0.7 * rows) <= 2
+    assert got["0", "support"] + got["1", "support"] == got["micro avg", "support"]
