@@ -245,7 +245,7 @@ def _check(k: int, dims: int):
 _NEAR = "array<struct<d2: double, id: bigint, own: boolean>>"
 
 
-def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5, trees: int = 8, candidates: int = 32, bits: int = 16, seed: int = 11) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5, trees: int = 5, candidates: int = 32, bits: int = 16, seed: int = 11) -> DataFrame:
     """``(id, neighbour, distance, rank)``: for every record its ``k`` nearest others by Euclidean distance, ties to the smaller id.
 
     Records are distinct ids whose ``columns`` are all numbers above 0; nulls, NaN, infinities, zeros and negatives leave a row out, and of an id's
