@@ -7,9 +7,8 @@ cut out of it.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import unicodedata
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -45,35 +44,29 @@ def build_automaton(items: list[tuple[int, str | None]], min_words: int, form: C
 
 
 def word_spans(text: str, form: ConsistentForm) -> list[tuple[str, int, int]]:
-    """The words of the form with the start and end of each in the stored text.
-
-    The stored text is cut into clusters (a character with the marks and joiners after it), each brought to its form alone to count its
-    length; if their total isn't the length of the whole form, words are aligned by the order of visible runs instead.
-    """
+    """The words of the form with the start and end in the stored text of what each comes from, ignorables and marks at its end left out."""
     whole = form(text)
     words = [(m.group().lower(), m.start(), m.end()) for m in _RUN.finditer(whole)]
     if whole == text:
         return words
-    starts, ends, at, i, n = [], [], 0, 0, len(text)
-    offsets = [0]
-    while i < n:
-        j = i + 1
-        while j < n and (unicodedata.combining(text[j]) or unicodedata.category(text[j]) in ("Cf", "Mn")):
-            j += 1
-        at += len(form(text[i:j]))
-        starts.append(i)
-        ends.append(j)
-        offsets.append(at)
-        i = j
-    if at != len(whole):
-        scale = n / max(1, len(whole))
-        return [(w, int(a * scale), min(n, int(b * scale) + 1)) for w, a, b in words]
-    place = lambda k: min(bisect_right(offsets, k) - 1, len(starts) - 1)
-    return [(w, starts[place(a)], ends[place(b - 1)]) for w, a, b in words]
-
-
-def _scan(df: DataFrame, block: list[tuple[int, str | None]], min_words: int, spellings: list[str], id_col: str, text_col: str, spans: bool) -> DataFrame:
+    at = form.places(text, whole)
+    return [(w, min(low for low, _ in at[a:b]), max(high for _, high in at[a:b])) for w, a, b in words]
+
+
+_AUTOMATA: dict[str, ahocorasick.Automaton | None] = {}
+
+
+def _automaton_of(name: str, items: list[tuple[int, str | None]], min_words: int, form: ConsistentForm) -> ahocorasick.Automaton | None:
+    """This worker's automaton for these items, built once; the last one is kept."""
+    if name not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = build_automaton(items, min_words, form)
+    return _AUTOMATA[name]
+
+
+def _scan(df: DataFrame, block: list[tuple[int, str | None]], min_words: int, spellings: tuple[str, list[str]], id_col: str, text_col: str, spans: bool) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((block, spellings))
+    name = hashlib.blake2b(repr((block, min_words, spellings[0])).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
     schema = "doc_id long, item_id long" + (", first_word int, n_words int, char_start int, char_end int" if spans else "")
 
     def hits(text: str, automaton: ahocorasick.Automaton, form: ConsistentForm) -> Iterator[tuple]:
@@ -109,7 +102,7 @@ def _scan(df: DataFrame, block: list[tuple[int, str | None]], min_words: int, sp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, spell = shared.value
         form = form_of(spell)
-        automaton = build_automaton(items, min_words, form)
+        automaton = _automaton_of(name, items, min_words, form)
         for batch in batches:
             rows = []
             if automaton is not None:
@@ -123,7 +116,7 @@ def _scan(df: DataFrame, block: list[tuple[int, str | None]], min_words: int, sp
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def leaked_passages(df: DataFrame, items: DataFrame, min_words: int = 12, vocabulary: str = "", spans: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text") -> DataFrame:
+def leaked_passages(df: DataFrame, items: DataFrame, min_words: int = 12, vocabulary: tuple[str, ...] = (), spans: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text") -> DataFrame:
     """``(doc_id, item_id)`` of texts that hold ``min_words`` consecutive words of an item; with ``spans`` one row per passage, adding
     ``first_word, n_words`` (in the text's words) and ``char_start, char_end`` (in the stored text).
 
@@ -131,7 +124,7 @@ def leaked_passages(df: DataFrame, items: DataFrame, min_words: int = 12, vocabu
     (held-out tests, a small fixed set) are read by the driver in blocks of ``ITEMS_PER_PASS``, one pass over the corpus each; the corpus is
     never shuffled, only the found pairs are.
     """
-    spellings = vocabulary_spellings(vocabulary)
+    spellings = vocabulary_spellings(*vocabulary)
     listed = items.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).dropna().distinct().toLocalIterator()
     out, block = None, []
 

@@ -21,10 +21,9 @@ def _vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
-def _spellings() -> str:
-    """The many-language vocabulary that canonical spellings come from; without it, words are normalised by table only."""
-    path = _vocabulary("byte_bpe_multi_50k.tiktoken")
-    return path if os.path.exists(path) else ""
+def _spellings() -> tuple[str, str]:
+    """The vocabularies that canonical spellings come from; a missing file is an error."""
+    return _vocabulary("byte_bpe_50k.tiktoken"), _vocabulary("byte_bpe_multi_50k.tiktoken")
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -157,9 +156,6 @@ need AS (SELECT s.table_name, s.category, coalesce(u.n, 0) AS available,
   FROM sample_targets s LEFT JOIN usable u ON u.table_name = s.table_name AND u.category = s.category)
 """
 _VALID = " AND ".join(f"{c} > 0 AND NOT isnan({c})" for c in MEASURES)
-_FOLDED = "regexp_replace(text, '[\\x{200b}\\x{200c}\\x{2060}\\x{feff}\\x{00ad}]', '', 'g')"
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 
 
 def oracle_sql() -> dict[str, str]:

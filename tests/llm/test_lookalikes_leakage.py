@@ -1,6 +1,8 @@
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from spanweave.llm import leakage as K
 from spanweave.llm import lookalikes as L
@@ -25,6 +27,7 @@ SAME = [
     ("ガ", "ガ"),
     ("\U0001f469‍\U0001f52c", "\U0001f469​‍\U0001f52c"),
 ]
+SAME += [("a", "ɑ"), ("g", "ɡ"), ("i", "ı"), ("p", "ρ"), ("A", "Ꭺ"), ("o", "օ"), ("A", "𝐀"), ("I", "Ⅰ"), ("l", "ӏ"), ("μ", "\u00b5"), ("III", "Ⅲ"), ("fish", "ﬁsh"), ("Dž", "ǅ"), ("❤", "❤\ufe0f"), ("a", "a\u180b"), ("ῥοή", "ῤοή".replace("ῤ", "ῥ"))]
 DIFFERENT = [("cafe", "café"), ("It", "it"), ("a b", "a  b"), ("a\nb", "a b"), ("x.", "x,"), ("m2", "m²"), ("don't", "don’t"), ("...", "…"), ("strasse", "straße"), ("\U0001f469‍\U0001f52c", "\U0001f469\U0001f52c"), ("1/2", "½"), ("еж", "ёж")]
 
 
@@ -44,6 +47,60 @@ def test_trie_spelling_wins_over_the_table(form):
     assert form("сор") == "cop"  # nothing but look-alikes: Latin
 
 
+def test_spellings_settle_doubtful_letters():
+    spelled = L.ConsistentForm(L.SpellingTrie(["Italy", "long", "ltd"]))
+    bare = L.ConsistentForm()
+    assert spelled("ӏtaly") == "Italy" and bare("ӏtaly") == "ltaly"
+    assert spelled("ӏong") == "long" and spelled("ӏt\u200bаly") == "Italy" and spelled("ӏtd") == "ltd"
+    assert L.SpellingTrie(["Italy"]).find("ӏtaly") == "Italy" and spelled("Italy") == "Italy"
+
+
+def test_vocabularies():
+    import os
+
+    from spanweave.llm.queries import _spellings
+
+    if not all(map(os.path.exists, _spellings())):
+        pytest.skip("no vocabularies")
+    name, words = L.vocabulary_spellings(*_spellings())
+    assert len(words) == len(set(words)) > 10_000 and name == L.vocabulary_spellings(*_spellings())[0] != L.vocabulary_spellings(_spellings()[0])[0]
+    assert L.form_of((name, words)) is L.form_of((name, words)) and L.form_of((name, words))("ѕhаllоw рассказ") == "shallow рассказ"
+    with pytest.raises(FileNotFoundError):
+        L.vocabulary_spellings("/nowhere/words.tiktoken")
+    assert L.vocabulary_spellings()[1] == []
+
+
+def test_too_many_spellings(monkeypatch):
+    monkeypatch.setattr(L, "MOST_SPELLINGS", 2)
+    with pytest.raises(ValueError):
+        L.SpellingTrie(["a", "b", "c"])
+
+
+ALPHABET = "ab I.1_\n\u0301\u0327\u0308\u200b\u200d\ufe0fｅｶﾞﾊﾟ，Ⅲﬁéёйе한\u1112\u1161\u11abガ\u3099\U0001f469\U0001f52c\u2764ӏ𝐀ǅ\u00a0²"
+
+
+def letters(text):
+    """Base letters in Latin: a word's script may depend on letters beyond a mark, its letters don't."""
+    return "".join(c for c in unicodedata.normalize("NFD", text.lower()).translate(L._LOOK) if c.isalnum())
+
+
+@given(st.text(alphabet=ALPHABET, max_size=24))
+@settings(max_examples=400, deadline=None)
+def test_places_lead_back_to_the_word(text):
+    form = L.ConsistentForm(L.SpellingTrie(WORDS + ["Italy"]))
+    whole = form(text)
+    assert form(whole) == whole and unicodedata.is_normalized("NFC", whole)
+    for w, a, b in K.word_spans(text, form):
+        assert 0 <= a < b <= len(text) and letters(w) == letters(form(text[a:b]))
+
+
+def test_spans_beside_composed_letters():
+    form = L.ConsistentForm()
+    for odd in ("\u1112\u1161\u11ab", "ﾊﾟ", "e\u0301\u0327", "Ⅷ"):
+        text = f"abc {odd} ef"
+        assert [text[a:b] for _, a, b in K.word_spans(text, form)] == ["abc", odd, "ef"]
+
+
 def test_forms_are_stable(form):
     for a, b in SAME + DIFFERENT:
         for x in (a, b):
