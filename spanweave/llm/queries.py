@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
@@ -79,6 +80,13 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (drawn.select(F.lit(t).alias("table_name"), "id", "category") for t, drawn, _ in _samples(spark, d)))
 
 
+def p3_balance(spark: SparkSession, d: str) -> DataFrame:
+    """What any balanced draw has in common: each category is drawn to within one record of its need, or whole if it falls short."""
+    report = p3_report(spark, d)
+    met = F.when(F.col("short"), F.col("drawn") == F.col("available")).otherwise(F.abs("residual") < 1)
+    return report.select("table_name", "category", "available", F.round("needed", 6).alias("needed"), "short", met.alias("met"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_read(spark, d, "reuters"), "news_id", story(), similarity=0.5, shingle=3, min_words=20).select("news_id_a", "news_id_b")
 
@@ -127,7 +135,7 @@ def p9_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_classes(_read(spark, d, "documents"), _spellings())
 
 
-_ALL = [p1_found, p1_abalone_clusters, p1_call_clusters, p2_found, p2_terms, p2_values, p3_found, p3_report, p3_sample, p4_found, p4_groups, p4_document_groups, p6_found, p6_neighbours, p7_ids, p7_decoded, p8_found, p8_passages, p9_found, p9_text, p9_classes]
+_ALL = [p1_found, p1_abalone_clusters, p1_call_clusters, p2_found, p2_terms, p2_values, p3_found, p3_report, p3_balance, p3_sample, p4_found, p4_groups, p4_document_groups, p6_found, p6_neighbours, p7_ids, p7_decoded, p8_found, p8_passages, p9_found, p9_text, p9_classes]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -155,17 +163,50 @@ need AS (SELECT s.table_name, s.category, coalesce(u.n, 0) AS available,
   greatest(s.target_share * s.sample_share * (SELECT sum(n) FROM usable x WHERE x.table_name = s.table_name), s.min_rows) AS needed
   FROM sample_targets s LEFT JOIN usable u ON u.table_name = s.table_name AND u.category = s.category)
 """
+_CHAINS = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT abalone_id AS id, any_value(length) AS x, any_value(whole_weight) AS y FROM abalone WHERE length > 0 AND NOT isnan(length) AND whole_weight > 0 AND NOT isnan(whole_weight) GROUP BY abalone_id),
+e AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON b.x BETWEEN a.x - 0.030000001 AND a.x + 0.030000001 AND abs(a.y - b.y) <= 0.030000001 AND a.id <> b.id),
+cc(id, c) USING KEY (id) AS (SELECT id, id FROM v UNION (SELECT e.dst, min(cc.c) FROM cc JOIN e ON e.src = cc.id JOIN recurring.cc AS r ON r.id = e.dst WHERE cc.c < r.c GROUP BY e.dst))
+SELECT id AS abalone_id, c AS cluster_id FROM cc"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _form_sql(text: str) -> str:
+    """A text's look, letter by letter: like the consistent form, but in Latin letters whatever a word's script, so that equal forms have equal looks."""
+    widths = {chr(c): to for c, to in lookalikes.PRINTED.items() if len(to) == 1} | dict.fromkeys(lookalikes.SPACES, " ")
+    looks = {c: to for c in map(chr, [*range(0x80, 0x3000), *range(0xA4D0, 0xA500)]) if (to := unicodedata.normalize("NFC", unicodedata.normalize("NFD", c).translate(lookalikes._LOOK))) != unicodedata.normalize("NFC", c) and len(to) == 1}
+    ignorable = "".join(f"\\x{{{ord(c):x}}}" for c in lookalikes.IGNORABLE if c != "\u200d")
+    pictograph = r"\x{2190}-\x{2bff}\x{1f000}-\x{1faff}"
+    bare = f"regexp_replace({text}, '[{ignorable}]', '', 'g')"
+    joined = rf"regexp_replace(regexp_replace({bare}, '(^|[^{pictograph}])\x{{200d}}+', '\1', 'g'), '\x{{200d}}+([^{pictograph}]|$)', '\1', 'g')"
+    for table in (widths, looks):
+        joined = f"translate(nfc_normalize({joined}), {_quoted(''.join(table))}, {_quoted(''.join(table.values()))})"
+    return f"nfc_normalize({joined})"
+
+
+_LOOKS = rf"""WITH f AS MATERIALIZED (SELECT doc_id, text, {_form_sql("text")} AS form FROM documents WHERE text IS NOT NULL),
+seen AS (SELECT * FROM f WHERE regexp_replace(form, '[\s[:cntrl:]\x{{85}}\x{{2028}}\x{{2029}}]', '', 'g') <> '')"""
+_RUNS = "list_distinct(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' ')))"
+_LEAKS = rf"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all({_form_sql("text")}, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all({_form_sql("item_text")}, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE item_text IS NOT NULL),
+dr AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d), ir AS (SELECT item_id, unnest({_RUNS}) AS run FROM i)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)"""
 _VALID = " AND ".join(f"{c} > 0 AND NOT isnan({c})" for c in MEASURES)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _CHAINS,
         "p2_found": _TERMS + "SELECT term, kind FROM kinds WHERE kind <> 'useful'",
         "p2_terms": _TERMS + "SELECT * FROM kinds",
         "p2_values": "WITH v AS (UNPIVOT (SELECT DISTINCT mushroom_id, class_code, odor, stalk_root, habitat FROM mushroom) ON class_code, odor, stalk_root, habitat INTO NAME field VALUE value), "
         "c AS (SELECT field, value, count(*) AS n FROM v GROUP BY ALL) SELECT field, value, CAST(n AS BIGINT) AS occurrences, CAST(n AS BIGINT) AS records, "
         "CASE WHEN n < 3 THEN 'rare' WHEN n > 0.3 * (SELECT count(DISTINCT mushroom_id) FROM mushroom) THEN 'common' ELSE 'useful' END AS kind FROM c",
         "p3_found": _NEED + "SELECT table_name, category FROM need WHERE available < needed",
+        "p3_balance": _NEED + "SELECT table_name, category, CAST(available AS BIGINT) AS available, round(needed, 6) AS needed, available < needed AS short, true AS met FROM need",
         "p4_found": rf"""
 WITH {_STORY_WORDS}
 ws AS (SELECT news_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w)) AS w FROM story),
@@ -178,4 +219,7 @@ WITH v AS (SELECT DISTINCT abalone_id AS id, length AS a, diameter AS b, whole_w
 near AS (SELECT x.id AS q, y.id AS o, row_number() OVER (PARTITION BY x.id ORDER BY (x.a - y.a)**2 + (x.b - y.b)**2 + (x.c - y.c)**2 + (x.d - y.d)**2, y.id) AS r FROM v x JOIN v y ON x.id <> y.id)
 SELECT DISTINCT least(q, o) AS abalone_id_a, greatest(q, o) AS abalone_id_b FROM near WHERE r <= 5""",
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_found": _LEAKS,
+        "p9_found": _LOOKS + " SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM seen a JOIN seen b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+        "p9_classes": _LOOKS + ", c AS (SELECT form, min(doc_id) AS class_id, count(DISTINCT text) AS n_spellings FROM seen GROUP BY form) SELECT doc_id, class_id, n_spellings FROM seen JOIN c USING (form)",
     }
