@@ -1,8 +1,9 @@
 """Similarity clusters by a Gaussian mixture.
 
-Features are standardised and reduced to the principal directions that hold most of the variance; mixtures of several sizes are fitted at
+Features are standardised and reduced to the principal directions that hold most of the variance (two at least); mixtures of several sizes are fitted at
 once by expectation-maximisation with regularised covariances, every iteration being one pass over all rows that sends sums only; the
-Bayesian information criterion picks the size, and larger sizes are added until it has risen twice. Members of highest density represent a cluster.
+Bayesian information criterion picks the size, and larger sizes are added until it has risen twice. Each size starts from the best of several fits
+to a bounded sample, so that few passes are left and another seed gives much the same fit. Members of highest density represent a cluster.
 
 Chain clusters (:func:`chain_clusters`) use the mixture as a partition for an exact linking step: a record is placed in its own component and in every
 component that may own a record within reach, so each link is seen inside a component.
@@ -22,15 +23,17 @@ from pyspark.sql import functions as F
 from spanweave.operators.components import connected_components
 from spanweave.session import materialize
 
-#: Rows with the smallest id hashes that the starting means are chosen from; the fit itself reads all rows.
-START_ROWS = 2000
+#: Rows with the smallest id hashes that the starting mixtures are fitted to; the fit itself reads all rows.
+START_ROWS = 10_000
 #: Starting rows for each component, where there are more than START_ROWS over this.
-START_EACH = 20
+START_EACH = 100
+#: Starts of every size (up to four times as many on a smaller sample), and their passes over the sample before the best of them goes on for LONG_PASSES.
+STARTS, SHORT_PASSES, LONG_PASSES = 15, 6, 30
 #: Sizes that are fitted first; then two more at a time, up to twice the largest, until the two largest are both worse than the best.
 FIRST_SIZES = (1, 2, 4, 8, 12, 16)
 #: Passes after which a size that hasn't settled is an error.
 MOST_PASSES = 1000
-_CHUNK = 16_384
+_CHUNK = 8_192
 
 
 @dataclass
@@ -60,11 +63,12 @@ class Mixture:
         return ((x - self.mean) / self.scale) @ self.axes.T
 
     def log_joint(self, z: np.ndarray) -> np.ndarray:
-        return _log_joint(z, self.centres, self.factors, self.constants)
+        """(rows, components) log of weight times density."""
+        return _terms(z) @ _coefficients(self.weights, self.centres, self.covariances)
 
 
 def _log_joint(z, centres, factors, constants):
-    """(rows, components) log of weight times density."""
+    """The same by inverse Cholesky factors, without the cancellation of expanded squares."""
     out = np.empty((len(z), len(centres)))
     for k, (centre, factor) in enumerate(zip(centres, factors, strict=True)):
         m = (z - centre) @ factor.T
@@ -72,6 +76,50 @@ def _log_joint(z, centres, factors, constants):
     return out
 
 
+def _terms(z: np.ndarray) -> np.ndarray:
+    """1, the features and their products: log densities are linear in them, and so are the sums that EM needs."""
+    i, j = np.triu_indices(z.shape[1])
+    return np.concatenate([np.ones((len(z), 1)), z, z[:, i] * z[:, j]], axis=1)
+
+
+def _coefficients(weights: np.ndarray, centres: np.ndarray, covariances: np.ndarray) -> np.ndarray:
+    """(terms, components) such that terms @ coefficients are the log joint densities."""
+    r = centres.shape[1]
+    i, j = np.triu_indices(r)
+    precision = np.linalg.inv(covariances)
+    linear = np.einsum("kij,kj->ki", precision, centres)
+    constant = np.log(weights) - 0.5 * (np.linalg.slogdet(covariances)[1] + r * np.log(2 * np.pi) + np.einsum("ki,ki->k", linear, centres))
+    return np.concatenate([constant[:, None], linear, np.where(i == j, -0.5, -1.0) * precision[:, i, j]], axis=1).T
+
+
+def _expectation(terms: np.ndarray, coefficients: np.ndarray) -> np.ndarray:
+    """Log likelihood of the rows and each component's sums of the terms, flat."""
+    joint = terms @ coefficients
+    top = joint.max(1, keepdims=True)
+    share = np.exp(joint - top)
+    total = share.sum(1, keepdims=True)
+    share /= total
+    return np.concatenate([[(top + np.log(total)).sum()], (share.T @ terms).ravel()])
+
+
+def _maximisation(sums: np.ndarray, centres: np.ndarray, regular: float) -> list[np.ndarray]:
+    """Weights, centres and covariances from the sums of a pass; a component without rows stays where it was."""
+    k, r = centres.shape
+    i, j = np.triu_indices(r)
+    s = sums.reshape(k, -1)
+    mass = np.maximum(s[:, 0], 1e-9)
+    means = s[:, 1 : 1 + r] / mass[:, None]
+    second = np.empty((k, r, r))
+    second[:, i, j] = second[:, j, i] = s[:, 1 + r :] / mass[:, None]
+    spread = second - means[:, :, None] * means[:, None, :]
+    # rounding must not leave a direction below nothing
+    values, vectors = np.linalg.eigh(spread)
+    spread = np.einsum("kij,kj,klj->kil", vectors, np.maximum(values, 0), vectors)
+    dead = s[:, 0] < 1e-6
+    spread[dead], means[dead] = np.eye(r), centres[dead]
+    return [mass / mass.sum(), means, spread + regular * np.eye(r)]
+
+
 def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
     values = batch.column(column)
     return values.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
@@ -98,24 +146,50 @@ def _moments(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
 
 
-def _start(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ seeds refined by a few Lloyd rounds on the bounded sample."""
+def _seeds(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ seeds, each the best of a few drawn, refined by a few Lloyd rounds."""
     centres = [sample[rng.integers(len(sample))]]
-    d = np.full(len(sample), np.inf)
+    d = ((sample - centres[0]) ** 2).sum(1)
+    squares = (sample**2).sum(1)
     for _ in range(k - 1):
-        d = np.minimum(d, ((sample - centres[-1]) ** 2).sum(1))
-        centres.append(sample[rng.choice(len(sample), p=d / d.sum())] if d.sum() > 0 else sample[0])
+        if d.sum() <= 0:
+            centres.append(sample[0])
+            continue
+        drawn = sample[rng.choice(len(sample), size=2 + int(np.log(k)), p=d / d.sum())]
+        near = np.minimum(d, np.maximum(squares - 2 * drawn @ sample.T + (drawn**2).sum(1)[:, None], 0))
+        best = near.sum(1).argmin()
+        centres.append(drawn[best])
+        d = near[best]
     centres = np.array(centres)
-    for _ in range(10):
+    for _ in range(5):
         near = ((centres**2).sum(1) - 2 * sample @ centres.T).argmin(1)
         centres = np.array([sample[near == j].mean(0) if (near == j).any() else centres[j] for j in range(k)])
     return centres
 
 
+def _start(sample: np.ndarray, k: int, seed: int, regular: float) -> list[np.ndarray]:
+    """A mixture of ``k``: the likeliest of several fits to the sample, whatever other sizes there are."""
+    rng = np.random.default_rng([seed, k])
+    terms, r = _terms(sample), sample.shape[1]
+
+    def improve(model: list[np.ndarray], passes: int) -> tuple[float, list[np.ndarray]]:
+        likelihood = -np.inf
+        for _ in range(passes):
+            sums = _expectation(terms, _coefficients(*model))
+            model = _maximisation(sums[1:], model[1], regular)
+            if sums[0] - likelihood < 1e-5 * abs(sums[0]):
+                break
+            likelihood = sums[0]
+        return sums[0], model
+
+    fits = [improve([np.full(k, 1 / k), _seeds(sample, k, rng), np.tile(np.eye(r) * (1.0 if k == 1 else 0.5), (k, 1, 1))], SHORT_PASSES) for _ in range(min(4 * STARTS, max(STARTS, START_ROWS * STARTS // len(sample))) if k > 1 else 1)]
+    return improve(max(fits, key=lambda f: f[0])[1], LONG_PASSES)[1]
+
+
 def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int, ...] | None = None, variance: float = 0.95, regular: float = 1e-3, max_iter: int | None = None, tolerance: float = 1e-4, seed: int = 3) -> Mixture | None:
     """Fit on all rows of ``df`` (numbers without nulls); None for an empty table.
 
-    Without ``sizes``, they grow from ``FIRST_SIZES`` until the two largest are both worse than the best, as one may be a poor local optimum; given ones are all there are. Every size is iterated until its mean log
+    Without ``sizes``, they grow from ``FIRST_SIZES`` until the two largest are both worse than the best, as one may be a poor local optimum, and are halved around the best until it stays; given ones are all there are. Every size is iterated until its mean log
     likelihood changes by less than ``tolerance`` of it; not settling in ``MOST_PASSES`` is an error. With ``max_iter`` it ends after so many passes.
     Sizes above the number of rows are left out. ``regular`` is added to every covariance's diagonal, so repeated rows and
     constant features don't collapse a component.
@@ -133,7 +207,7 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
     values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
     order = np.argsort(values)[::-1]
     share = np.cumsum(np.maximum(values[order], 0)) / max(np.maximum(values, 0).sum(), 1e-12)
-    r = min(d, int(np.searchsorted(share, variance - 1e-12)) + 1)
+    r = min(d, max(2, int(np.searchsorted(share, variance - 1e-12)) + 1))
     axes = vectors[:, order[:r]].T
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +217,6 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * r), pa.array(z.ravel()))], names=["z"])
 
     z = x.select("x").mapInArrow(project, "z array<float>").persist(StorageLevel.MEMORY_AND_DISK)
-    rng = np.random.default_rng(seed)
 
     def starts(rows: int) -> np.ndarray:
         first = x.orderBy("h").limit(rows).select("x").collect()
@@ -153,59 +226,54 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
     models: dict[int, list] = {}
     likelihood: dict[int, float] = {}
     passes: dict[int, int] = {}
-    part = 1 + r + r * r
+    part = 1 + r + r * (r + 1) // 2
 
     def settle(active: list[int]) -> None:
         for _ in range(max_iter or MOST_PASSES):
             if not active:
                 return
-            params = [(models[k][1], inv := np.linalg.inv(np.linalg.cholesky(models[k][2])), np.log(models[k][0]) + np.log(np.abs(np.linalg.det(inv))) - 0.5 * r * np.log(2 * np.pi)) for k in active]
+            params = [_coefficients(*models[k]) for k in active]
 
             def expect(rows: np.ndarray, params=params) -> np.ndarray:
-                out, rows = [], rows.astype(float)
-                second = (rows[:, :, None] * rows[:, None, :]).reshape(len(rows), -1)
-                for centres, factors, constants in params:
-                    joint = _log_joint(rows, centres, factors, constants)
-                    top = joint.max(1, keepdims=True)
-                    total = top[:, 0] + np.log(np.exp(joint - top).sum(1))
-                    share = np.exp(joint - total[:, None])
-                    out += [[total.sum()], np.concatenate([share.sum(0)[:, None], share.T @ rows, share.T @ second], axis=1).ravel()]
-                return np.concatenate(out)
+                terms = _terms(rows.astype(float))
+                return np.concatenate([_expectation(terms, p) for p in params])
 
             sums = _summed(z, expect, sum(1 + k * part for k in active))
             at = 0
             for k in list(active):
                 passes[k] = passes.get(k, 0) + 1
-                new, s = sums[at] / n, sums[at + 1 : at + 1 + k * part].reshape(k, part)
+                new, s = sums[at] / n, sums[at + 1 : at + 1 + k * part]
                 at += 1 + k * part
-                mass = np.maximum(s[:, 0], 1e-9)
-                centres = s[:, 1 : 1 + r] / mass[:, None]
-                spread = s[:, 1 + r :].reshape(k, r, r) / mass[:, None, None] - centres[:, :, None] * centres[:, None, :]
-                spread = (spread + spread.transpose(0, 2, 1)) / 2
-                dead = s[:, 0] < 1e-6
-                spread[dead], centres[dead] = np.eye(r), models[k][1][dead]
                 if k in likelihood and abs(new - likelihood[k]) < tolerance * max(1.0, abs(new)):
                     active.remove(k)
                 likelihood[k] = new
-                models[k] = [mass / mass.sum(), centres, spread + regular * np.eye(r)]
+                models[k] = _maximisation(s, models[k][1], regular)
         if active and max_iter is None:
             raise RuntimeError(f"mixtures of {active} components have not settled in {MOST_PASSES} passes")
 
     def criterion(k: int) -> tuple[float, int]:
         return -2 * likelihood[k] * n + (k - 1 + k * r + k * r * (r + 1) / 2) * np.log(n), k
 
-    wanted = FIRST_SIZES if sizes is None else sizes
+    def fit(wanted: list[int]) -> int:
+        """Fit sizes; the best of all so far."""
+        nonlocal sample
+        if len(sample) < min(n, START_EACH * max(wanted)):
+            sample = starts(START_EACH * max(wanted))
+        fresh = [k for k in wanted if k <= max(1, len(sample))]
+        models.update({k: _start(sample, k, seed, regular) for k in fresh})
+        settle(fresh)
+        return min(models, key=criterion)
+
     try:
-        while True:
-            if len(sample) < min(n, START_EACH * max(wanted)):
-                sample = starts(START_EACH * max(wanted))
-            fresh = [k for k in wanted if k <= max(1, len(sample))]
-            models |= {k: [np.full(k, 1 / k), _start(sample, k, rng), np.tile(np.eye(r) * (1.0 if k == 1 else 0.5), (k, 1, 1))] for k in fresh}
-            settle(fresh)
-            largest, best = max(models), min(models, key=criterion)
-            if sizes is not None or sum(k > best for k in models) >= 2 or largest < max(wanted):
+        best = fit(list(FIRST_SIZES if sizes is None else sizes))
+        while sizes is None and sum(k > best for k in models) < 2 and 2 * max(models) <= n:
+            best = fit([max(models) * 3 // 2, max(models) * 2])
+        while sizes is None:
+            below, above = (max((k for k in models if k < best), default=best), min((k for k in models if k > best), default=best))
+            between = sorted({(below + best) // 2, (best + above) // 2} - set(models))
+            if not between or fit(between) == best:
                 break
-            wanted = (largest * 3 // 2, largest * 2)
+            best = min(models, key=criterion)
     finally:
         z.unpersist()
     return Mixture(mean, scale, axes, *models[best], bic={k: criterion(k)[0] for k in models}, rows=n, passes=passes)
@@ -296,7 +364,7 @@ def _halo(model: Mixture | None, reach: float, dims: int):
             x = _matrix(batch, 1)
             ids = batch.column(0).to_numpy()
             z = model.reduce(x)
-            m = np.sqrt(np.maximum(2 * (model.constants - model.log_joint(z)), 0))
+            m = np.sqrt(np.maximum(2 * (model.constants - _log_joint(z, model.centres, model.factors, model.constants)), 0))
             upper = model.constants - 0.5 * np.maximum(m - lengths, 0) ** 2
             lower = model.constants - 0.5 * (m + lengths) ** 2
             home = (model.constants - 0.5 * m**2).argmax(1)
@@ -359,7 +427,7 @@ def chain_clusters(df: DataFrame, id_col: str, columns: tuple[str, str], reach:
     """
     cols = list(columns)
     rows = materialize(_usable(df, id_col, cols, positive=True))
-    model = fit_mixture(rows, "id", cols, **({"variance": 1.0, "sizes": (1, 2, 3, 4, 6), "max_iter": 15} | fit))
+    model = fit_mixture(rows, "id", cols, **({"variance": 1.0, "sizes": (1, 2, 3, 4, 6), "max_iter": 5} | fit))
     schema = "id long, component int, cx long, cy long, x double, y double"
     if model is None:
         return rows.select(F.col("id").alias(id_col), F.col("id").alias("cluster_id"))
