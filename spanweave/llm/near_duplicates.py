@@ -1,9 +1,10 @@
 """Near-duplicate records by deletion-variant signatures.
 
 A record is the set of its word shingles, sketched by a vector of min-wise hashes; two vectors agree in each symbol with the sets'
-Jaccard similarity. As in HmSearch (Zhang, Qin, Wang, Sun, Lu 2013), the vector is cut into fewer segments than it may have differences,
-so that in some segment two similar records differ by at most one symbol; each segment is indexed under its variants with one
-symbol deleted, records with an equal variant are candidates, and candidates are verified on the whole sets.
+Jaccard similarity. As in HmSearch (Zhang, Qin, Wang, Sun, Lu 2013), the vector is cut into segments, each segment is indexed under its
+variants with one symbol deleted, so that segments which differ by at most one symbol meet, records with an equal variant are candidates, and
+candidates are verified on the whole sets. At a low similarity two vectors may differ in more symbols than there are segments, so that such a
+segment is likely but not certain: the loss below is what remains.
 
 A symbol has 16 bits instead of one: single min-hash bits agree by chance in half of all cases, so at a similarity of 0.5 a
 segment within one bit selects nothing. With 12 segments of 4 symbols a pair at similarity 0.5 is missed with probability (1 - 0.3125)^12 = 0.011, at 0.6 with
@@ -42,27 +43,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Codes(dict):
+    """Word -> 64-bit code of its lower case; forgets when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MEMO_WORDS:
+            self.clear()
+        code = self[word] = int.from_bytes(hashlib.blake2b(word.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return code
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of a batch in parts of bounded size; a very long text is a part of its own."""
+    ids, texts, size = [], [], 0
+    for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if i is not None and text:
+            ids.append(i)
+            texts.append(text)
+            size += len(text)
+            if len(ids) == 4096 or size > 4_000_000:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _shingler(shingle: int, min_words: int):
-    """text -> sorted distinct shingle hashes, or None for a text that is too short; remembers words."""
-    memo: dict[str, int] = {}
-
-    def shingles(text: str | None) -> np.ndarray | None:
-        run_of = _RUN.findall(text) if text else []
-        if len(run_of) < max(min_words, shingle):
-            return None
-        codes = []
-        for w in run_of:
-            code = memo.get(w)
-            if code is None:
-                if len(memo) >= _MEMO_WORDS:
-                    memo.clear()
-                code = memo[w] = int.from_bytes(hashlib.blake2b(w.lower().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            codes.append(code)
-        c = np.array(codes, dtype=np.uint64)
-        h = np.zeros(len(c) - shingle + 1, dtype=np.uint64)
+    """texts -> (positions of those with enough words, sizes of their sets, sorted distinct 52-bit shingle hashes of one after the other).
+
+    A text with fewer words than a shingle has one shingle of all its words; one without words has none and is left out.
+    """
+    codes = _Codes()
+
+    def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        runs = [_RUN.findall(t) for t in texts]
+        kept = np.array([k for k, w in enumerate(runs) if w and len(w) >= min_words], np.int64)
+        if not len(kept):
+            return kept, kept, np.empty(0, np.uint64)
+        lengths = np.array([len(runs[k]) for k in kept])
+        c = np.array([code for k in kept for code in map(codes.__getitem__, runs[k])], np.uint64)
+        owner = np.repeat(np.arange(len(kept), dtype=np.uint64), lengths)
+        h, last = np.zeros(len(c), np.uint64), len(c) - 1
+        at = np.arange(len(c))
+        ends = np.cumsum(lengths)[owner.astype(np.int64)]
         for k in range(shingle):
-            h = _mixed(h * _MIX + c[k : len(c) - shingle + 1 + k])
-        return np.unique(h)
+            # past a text's end nothing is added, so a short text's only shingle is the one at its start
+            h = np.where(at + k < ends, _mixed(h * _MIX + c[np.minimum(at + k, last)]), h)
+        whole = (at + shingle <= ends) | (at == ends - lengths[owner.astype(np.int64)])
+        keyed = np.sort((owner[whole] << np.uint64(52)) | (h[whole] >> np.uint64(12)))
+        keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
+        return kept, np.bincount((keyed >> np.uint64(52)).astype(np.int64), minlength=len(kept)), keyed & np.uint64((1 << 52) - 1)
 
     return shingles
 
@@ -73,19 +103,20 @@ def _signer(shingle: int, min_words: int, symbols: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _shingler(shingle, min_words)
         for batch in batches:
-            ids, sets = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if i is not None and (h := shingles(text)) is not None:
-                    ids.append(i)
-                    sets.append(h)
-            sizes = np.array([len(h) for h in sets], dtype=np.int64)
-            sketch = np.empty((len(sets), symbols), np.uint16)
-            if sets:
-                flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            for ids, texts in _chunks(batch):
+                kept, sizes, flat = shingles(texts)
+                if not len(kept):
+                    continue
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                sketch = np.empty((len(kept), symbols), np.uint16)
                 for k, salt in enumerate(salts):
-                    sketch[:, k] = np.minimum.reduceat(_mixed(flat * salt), starts) & np.uint64(0xFFFF)
-            digests = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array([row.tobytes() for row in sketch], pa.binary())], names=["id", "digest", "n", "sketch"])
+                    y = flat * salt
+                    y ^= y >> np.uint64(32)
+                    sketch[:, k] = _mixed(np.minimum.reduceat(y, starts)) & np.uint64(0xFFFF)
+                raw = flat.tobytes()
+                digests = [hashlib.blake2b(raw[8 * a : 8 * (a + n)], digest_size=16).digest() for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                cols = [pa.array([ids[k] for k in kept], pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array([row.tobytes() for row in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "digest", "n", "sketch"])
 
     return run
 
@@ -114,17 +145,17 @@ def _sets(shingle: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _shingler(shingle, min_words)
         for batch in batches:
-            found = [(i, h) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (h := shingles(t)) is not None]
-            flat = np.concatenate([h for _, h in found]).astype(np.uint32).view(np.int32) if found else np.empty(0, np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(h) for _, h in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+            for ids, texts in _chunks(batch):
+                kept, sizes, flat = shingles(texts)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in kept], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.uint32).view(np.int32)))], names=["id", "shingles"])
 
     return run
 
 
 @dataclass
 class Signed:
-    """A signed table: its rows, one row per id and one row per distinct set."""
+    """A signed table: its rows, one row per signed id and one row per distinct set."""
 
     rows: DataFrame  # id, text
     members: DataFrame  # id, class_id
@@ -134,27 +165,32 @@ class Signed:
     segments: int
     width: int
     seed: int
+    held: list[DataFrame]
+
+    def keyed(self) -> DataFrame:
+        """``(key, id)``: a row for each class and variant of its segments."""
+        return self.classes.select("class_id", "sketch").mapInArrow(_variants(self.segments, self.width, self.seed), "key long, id long")
+
+    def close(self) -> None:
+        """Give the cached tables back; what has been materialised stays."""
+        for df in self.held:
+            df.unpersist()
 
 
 def sign(df: DataFrame, id_col: str, text: Column, shingle: int = 5, min_words: int = 0, segments: int = 12, width: int = 4, seed: int = 7) -> Signed:
-    """Sign every row with at least ``min_words`` (and ``shingle``) words. Equal sets form a class, named by its smallest id; only it keeps a sketch."""
+    """Sign every row with a word and at least ``min_words`` of them. Equal sets form a class, named by its smallest id; only it keeps a sketch."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.cast("string").alias("text"))
     signed = rows.mapInArrow(_signer(shingle, min_words, segments * width, seed), "id long, digest binary, n int, sketch binary").persist(StorageLevel.MEMORY_AND_DISK)
     classes = signed.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).persist(StorageLevel.MEMORY_AND_DISK)
-    members = signed.select("id", "digest").distinct().join(classes.select("digest", "class_id"), "digest").select("id", "class_id")
-    return Signed(rows, members, classes.select("class_id", "n", "sketch"), shingle, min_words, segments, width, seed)
+    members = materialize(signed.select("id", "digest").distinct().join(classes.select("digest", "class_id"), "digest").select("id", "class_id"))
+    return Signed(rows, members, classes.select("class_id", "n", "sketch"), shingle, min_words, segments, width, seed, [signed, classes])
 
 
-def class_links(signed: Signed, similarity: float) -> DataFrame:
-    """``(a, b, likeness)``, a < b, for all found pairs of classes whose sets share ``similarity`` of their union.
+def _verified(signed: Signed, found: DataFrame, similarity: float) -> DataFrame:
+    """``found(a, b)`` -> ``(a, b, likeness)`` of those whose sets share ``similarity`` of their union.
 
-    The join on the variants' key is of rows of two numbers; AQE splits a hot key's rows over tasks, and no key is capped. Candidates
-    whose sizes rule them out go before sets are made, again from the texts, for what is left only.
+    Candidates whose sizes rule them out go before sets are made, again from the texts, for what is left only.
     """
-    keyed = signed.classes.select("class_id", "sketch").mapInArrow(_variants(signed.segments, signed.width, signed.seed), "key long, id long")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    found = materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
     sized = found.join(signed.classes.select(F.col("class_id").alias("a"), F.col("n").alias("na")), "a").join(signed.classes.select(F.col("class_id").alias("b"), F.col("n").alias("nb")), "b")
     candidates = materialize(sized.where((F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))))
     ends = materialize(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct())
@@ -163,17 +199,51 @@ def class_links(signed: Signed, similarity: float) -> DataFrame:
     texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
     pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     measured = pairs.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("c"))
-    return measured.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("likeness")).where(F.col("likeness") >= similarity)
+    out = materialize(measured.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("likeness")).where(F.col("likeness") >= similarity))
+    texts.unpersist()
+    return out
+
+
+def class_links(signed: Signed, similarity: float) -> DataFrame:
+    """``(a, b, likeness)``, a < b, for all found pairs of classes whose sets share ``similarity`` of their union.
+
+    The join on the variants' key is of rows of two numbers; AQE splits a hot key's rows over tasks, and no key is capped.
+    """
+    keyed = signed.keyed()
+    a, b = keyed.alias("a"), keyed.alias("b")
+    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    return _verified(signed, materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()), similarity)
+
+
+def class_chains(signed: Signed, similarity: float) -> DataFrame:
+    """``(node, component)`` of the classes that have a link: the chains of :func:`class_links` without all the links inside a dense group.
+
+    Every class is compared with the smallest one of each of its keys first. What these links join is one chain already, so after that only pairs from different
+    chains are compared.
+    """
+    keyed = materialize(signed.keyed())
+    star = keyed.join(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z"), "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
+    first = _verified(signed, materialize(star), similarity)
+    chains = materialize(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    placed = keyed.join(chains.withColumnRenamed("node", "id"), "id", "left").withColumn("chain", F.coalesce("component", "id")).select("key", "id", "chain")
+    open_ = placed.join(placed.groupBy("key").agg(F.min("chain").alias("lo"), F.max("chain").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")
+    open_ = materialize(open_)
+    a, b = open_.alias("a"), open_.alias("b")
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.chain") < F.col("b.chain"))).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    rest = _verified(signed, materialize(across.join(star, ["a", "b"], "left_anti")), similarity)
+    return connected_components(first.union(rest).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text: Column, similarity: float = 0.8, shingle: int = 5, min_words: int = 0, **sketch: int) -> DataFrame:
     """``(id_col_a, id_col_b, likeness)``, a < b: every pair of records whose shingle sets share ``similarity`` of their union, copies included.
 
-    An id delivered twice counts once. Null, empty and short texts and null ids have no pair; an empty table gives no rows.
-    The number of rows is that of the pairs asked for; :func:`near_duplicate_groups` gives one row per record instead.
+    An id delivered twice counts once. Texts without words or with fewer than ``min_words`` and null ids have no pair; a text with fewer words than a
+    shingle has all its words as its only shingle. An empty table gives no rows. The number of rows is that of the pairs asked for;
+    :func:`near_duplicate_groups` gives one row per record instead.
     """
     signed = sign(df, id_col, text, shingle, min_words, **sketch)
-    links = materialize(class_links(signed, similarity))
+    links = class_links(signed, similarity)
+    signed.close()
     member = signed.members
     across = links.join(member.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "likeness")
     m, o = member.alias("m"), member.alias("o")
@@ -183,15 +253,16 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text: Column, similarity: f
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, similarity: float = 0.8, shingle: int = 5, min_words: int = 0, **sketch: int) -> DataFrame:
-    """``(id_col, class_id, group_id, links)``: one row per record with enough words.
+    """``(id_col, class_id, group_id)``: one row per record (a distinct id that isn't null).
 
-    ``class_id`` names the records with the same shingle set, ``group_id`` the smallest id of the chain of similar classes, ``links``
-    the number of other classes similar to the record's. Nothing is expanded into pairs of copies.
+    ``class_id`` names the records with the same shingle set, ``group_id`` the smallest id of the chain of similar classes. A record without
+    words, or with fewer than ``min_words``, is a class and group of its own. Nothing is expanded into pairs of copies, nor into all pairs of a chain.
     """
     signed = sign(df, id_col, text, shingle, min_words, **sketch)
-    links = materialize(class_links(signed, similarity))
-    group = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    linked = group.join(degree, "node")
-    out = signed.members.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("component", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    chains = materialize(class_chains(signed, similarity))
+    signed.close()
+    placed = signed.members.join(chains.withColumnRenamed("node", "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"))
+    # an id whose deliveries differ has a row in each class: the first is kept
+    one = placed.groupBy("id").agg(F.min(F.struct("class_id", "group_id")).alias("c"))
+    every = signed.rows.select("id").where("id is not null").distinct()
+    return every.join(one, "id", "left").select(F.col("id").alias(id_col), F.coalesce("c.class_id", "id").alias("class_id"), F.coalesce("c.group_id", "id").alias("group_id"))

@@ -50,8 +50,8 @@ def jaccard_pairs(rows, shingle, least, similarity):
     sets = {}
     for i, text in rows:
         w = T.record_words(text or "")
-        if i is not None and len(w) >= max(least, shingle):
-            sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)}
+        if i is not None and w and len(w) >= least:
+            sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
 
 
@@ -85,10 +85,49 @@ def test_pairs_against_brute_force(spark, similarity, shingle, least):
     assert got <= want and len(got) >= 0.995 * len(want)
     groups = {r["id"]: r for r in N.near_duplicate_groups(df, "id", F.col("text"), similarity, shingle, least).collect()}
     assert all(groups[a]["group_id"] == groups[b]["group_id"] for a, b in got)
-    assert len(groups) == len({a for a, t in rows if a is not None and len(T.record_words(t or "")) >= max(least, shingle)})
+    assert set(groups) == {a for a, _ in rows if a is not None}
+    chain = {a: a for a in groups}
+    for _ in range(10):
+        for a, b in got:
+            chain[a] = chain[b] = min(chain[a], chain[b])
+    assert {a: r["group_id"] for a, r in groups.items()} == chain
     assert groups[i + 3]["class_id"] == groups[0]["class_id"]
 
 
+def test_short_texts(spark):
+    """Fewer words than a shingle are one shingle; no words are no shingle."""
+    rows = [(1, "two words"), (2, "TWO  words"), (3, "words two"), (4, ""), (5, None), (6, "..."), (7, "one"), (8, "one"), (9, "two words more"), (10, "a b c d e"), (11, "a b c d e f")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert sorted((r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(df, "id", F.col("text"), 0.8, 5).collect()) == [(1, 2), (7, 8)]
+    groups = {r["id"]: (r["class_id"], r["group_id"]) for r in N.near_duplicate_groups(df, "id", F.col("text"), 0.5, 5).collect()}
+    assert groups == {i: (c, g) for i, c, g in [(1, 1, 1), (2, 1, 1), (3, 3, 3), (4, 4, 4), (5, 5, 5), (6, 6, 6), (7, 7, 7), (8, 7, 7), (9, 9, 9), (10, 10, 10), (11, 11, 10)]}
+
+
+def test_dense_group_is_a_star(spark, monkeypatch):
+    """Texts that differ in one word have as many links as pairs; their chain takes about as many candidates as texts."""
+    seen = []
+    verified = N._verified
+    monkeypatch.setattr(N, "_verified", lambda signed, found, similarity: seen.append(found.count()) or verified(signed, found, similarity))
+    df = spark.createDataFrame([(i, "all of these notices say the same long thing over and over again but for " + f"word{i} " + "in the middle of it and so on until the very end of the page") for i in range(300)], "id long, text string")
+    groups = N.near_duplicate_groups(df, "id", F.col("text"), 0.6, 3).collect()
+    assert {r["group_id"] for r in groups} == {0} and sum(seen) < 3000
+
+
+def test_recall_at_the_threshold(spark):
+    """Fresh pairs of sets that share just half of their union."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        words = [f"u{i}x{k}" for k in range(62)]  # 60 shingles of three words; 40 in common leave 20 + 20 of their own
+        cut = 40
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(words[: cut + 2] + [f"o{i}x{k}" for k in range(20)])))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = N.near_duplicate_pairs(df, "id", F.col("text"), 0.5, 3, 20).collect()
+    assert len(got) >= 0.985 * 1500 and all(r["id_b"] == r["id_a"] + 1 for r in got)
+
+
 def test_hot_copies_and_empty(spark):
     """A third of all rows are copies: one class, no pairs among them in the grouped form; a long text is one row."""
     rows = [(k, "the same long notice of the quarry with twenty words in it so that it is not too short for any test at all") for k in range(400)]
