@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from spanweave.functions.metrics import BLOCK_METRICS, check_metric
 from spanweave.operators.components import connected_components
 from spanweave.operators.ranking import with_global_rank
-from spanweave.session import materialize
+from spanweave.session import materialize, parallelism
 
 #: Vertices in a block: a block pair's weights take 8 * BLOCK**2 bytes.
 BLOCK = 1024
 EDGES = "src long, dst long, weight double"
+#: Most tasks of a comparison of all pairs, for each core: the blocks' pairs are spread over them.
+TASKS_PER_CORE = 32
 #: Forests of at most this many candidate edges are finished in one task.
 ONE_TASK_EDGES = 300_000
 
@@ -72,7 +74,9 @@ def _per_block(nodes: DataFrame, metric: str, gamma: float | None, kernel: Calla
         w = weigh(x[i], x[j], gamma)
         return pa.Table.from_pydict(kernel((vid[i], label[i]), (vid[j], label[j]), w, p == q))
 
-    return placed.repartition(max(blocks * (blocks + 1) // 2, 1), "p", "q").groupBy("p", "q").applyInArrow(run, schema)
+    # several block pairs a task once there are many: a task holds one pair at a time, and tasks stay a small multiple of the cores
+    tasks = min(blocks * (blocks + 1) // 2, TASKS_PER_CORE * parallelism(nodes.sparkSession))
+    return placed.repartition(max(tasks, 1), "p", "q").groupBy("p", "q").applyInArrow(run, schema)
 
 
 def pairwise_weights(nodes: DataFrame, metric: str = "euclidean", gamma: float | None = None, positive: bool = True, block: int = BLOCK) -> DataFrame:
@@ -199,6 +203,8 @@ def _boruvka(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         left = live.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         left = left.select("src", "dst", "weight", F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
         live = materialize(left)
+    else:
+        raise RuntimeError(f"no spanning forest after {max_rounds} rounds")
     out = edges.select("src", "dst", "weight").limit(0)
     for x in chosen:
         out = out.unionByName(x)

@@ -19,6 +19,8 @@ from spanweave.session import materialize
 KERNEL_VERTICES = 200_000
 #: Edges of a component that one task floods or cuts; larger ones go round by round through joins.
 KERNEL_EDGES = 1_000_000
+#: Messages are rounded to so many digits, in joins and in kernels alike, so that a tie is one whatever the order of the sums.
+DIGITS = 9
 
 
 def factor(weight: Column, receiver: Column) -> tuple[Column, Column]:
@@ -31,37 +33,37 @@ def factor(weight: Column, receiver: Column) -> tuple[Column, Column]:
 
 
 def start_messages(graph: Graph) -> DataFrame:
-    """Directed messages ``(src, dst, weight, label, m_neg, m_pos)``, all zero; ``label`` is the sender's."""
-    d = both_directions(graph.edges)
-    return d.join(graph.vertices.select(F.col("vid").alias("src"), "label"), "src").select("src", "dst", "weight", "label", F.lit(0.0).alias("m_neg"), F.lit(0.0).alias("m_pos"))
+    """Directed messages ``(src, dst, weight, label, other, m_neg, m_pos)``, all zero; ``label`` is the sender's, ``other`` the receiver's."""
+    d, lab = both_directions(graph.edges), graph.vertices.select("vid", "label")
+    known = d.join(lab.select(F.col("vid").alias("src"), "label"), "src").join(lab.select(F.col("vid").alias("dst"), F.col("label").alias("other")), "dst")
+    return known.select("src", "dst", "weight", "label", "other", F.lit(0.0).alias("m_neg"), F.lit(0.0).alias("m_pos"))
 
 
 def flood_round(messages: DataFrame, normalize: bool = False) -> DataFrame:
     """One synchronous round: every vertex sends along every edge the best of what the others told it.
 
-    Incoming sums are one aggregation per vertex; the receiver's own message is taken off again by a join on the reversed edge.
+    What a vertex got over an edge is answered over the same edge: the answer needs the sum of all it got, less this message. So a round is one
+    aggregation by receiver and one join back on the same key; the rows turn round.
     """
-    total = messages.groupBy(F.col("dst").alias("src")).agg(F.sum("m_neg").alias("a_neg"), F.sum("m_pos").alias("a_pos"))
-    reverse = messages.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("m_neg").alias("r_neg"), F.col("m_pos").alias("r_pos"))
-    got = messages.select("src", "dst", "weight", "label").join(total, "src", "left").join(reverse, ["src", "dst"])
-    n_neg, n_pos, far = F.col("a_neg") - F.col("r_neg"), F.col("a_pos") - F.col("r_pos"), -4 * F.col("weight")
-    neg = F.when(F.col("label") == 0, n_neg).when(F.col("label") == 1, far + n_pos).otherwise(F.greatest(n_neg, far + n_pos))
-    pos = F.when(F.col("label") == 0, far + n_neg).when(F.col("label") == 1, n_pos).otherwise(F.greatest(far + n_neg, n_pos))
-    sent = got.select("src", "dst", "weight", "label", neg.alias("x_neg"), pos.alias("x_pos"))
+    total = messages.groupBy("dst").agg(F.sum("m_neg").alias("a_neg"), F.sum("m_pos").alias("a_pos"))
+    n_neg, n_pos, far = F.col("a_neg") - F.col("m_neg"), F.col("a_pos") - F.col("m_pos"), -4 * F.col("weight")
+    neg = F.when(F.col("other") == 0, n_neg).when(F.col("other") == 1, far + n_pos).otherwise(F.greatest(n_neg, far + n_pos))
+    pos = F.when(F.col("other") == 0, far + n_neg).when(F.col("other") == 1, n_pos).otherwise(F.greatest(far + n_neg, n_pos))
+    sent = messages.join(total, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.col("other").alias("label"), F.col("label").alias("other"), neg.alias("x_neg"), pos.alias("x_pos"))
     top = F.greatest("x_neg", "x_pos") if normalize else F.lit(0.0)
-    return sent.select("src", "dst", "weight", "label", (F.col("x_neg") - top).alias("m_neg"), (F.col("x_pos") - top).alias("m_pos"))
+    return sent.select("src", "dst", "weight", "label", "other", (F.col("x_neg") - top).alias("m_neg"), (F.col("x_pos") - top).alias("m_pos"))
 
 
-def flood(graph: Graph, rounds: int, normalize: bool = True, digits: int | None = 9, cut_every: int = 3) -> DataFrame:
-    """Messages after ``rounds`` rounds of joins; lineage is cut every few rounds. ``digits`` rounds them, so that engines that add in another order agree."""
+def flood(graph: Graph, rounds: int, normalize: bool = True, digits: int | None = DIGITS, cut_every: int = 4) -> DataFrame:
+    """``(src, dst, weight, label, m_neg, m_pos)`` after ``rounds`` rounds; lineage is cut every few rounds. ``digits`` rounds the messages, so that engines that add in another order agree."""
     messages = materialize(start_messages(graph))
     for r in range(1, rounds + 1):
         messages = flood_round(messages, normalize)
         if digits is not None:
             messages = messages.withColumns({c: F.round(c, digits) for c in ("m_neg", "m_pos")})
-        if r % cut_every == 0:
+        if r % cut_every == 0 and r < rounds:
             messages = materialize(messages)
-    return messages
+    return messages.drop("other")
 
 
 def beliefs(messages: DataFrame) -> DataFrame:
@@ -97,6 +99,7 @@ def _flood_kernel(rounds: int, normalize: bool):
                 new = np.where((label == -1)[:, None], np.maximum(stay, switch), np.where(label[:, None] == np.array([0, 1]), stay, switch))
                 if normalize:
                     new = new - new.max(1, keepdims=True)
+                new = np.where(np.abs(new) < 1e15 * 10.0**-DIGITS, np.round(new, DIGITS), new)  # larger ones have no such digits
                 if np.array_equal(new, m):
                     break
                 m = new
@@ -119,7 +122,7 @@ def flood_exact(graph: Graph, threshold: int | None = None, normalize: bool = Fa
     if not large.isEmpty():
         inside = with_comp.join(large, "component", "left_semi").where("src < dst")
         rest = with_comp.join(large, "component", "left_anti")
-        looped = flood(Graph(graph.vertices, materialize(inside.select("src", "dst", "weight"))), rounds, normalize, digits=None)
+        looped = flood(Graph(graph.vertices, materialize(inside.select("src", "dst", "weight"))), rounds, normalize)
         return _flood_components(rest, rounds, normalize).unionByName(looped)
     return _flood_components(with_comp, rounds, normalize)
 

@@ -112,7 +112,7 @@ p{r}_0 AS (SELECT x.c, CASE WHEN y.d = x.c AND x.c < x.d THEN x.c ELSE x.d END A
 
 # --- tabular sources and preparation ---------------------------------------------------------------------------------------------------
 
-_ABALONE = f"""WITH a AS (SELECT DISTINCT abalone_id, upper(trim(sex)) AS s, {", ".join(tables.ABALONE_MEASURES)}, rings FROM abalone WHERE rings BETWEEN 5 AND 15),
+_ABALONE = f"""WITH a AS (SELECT DISTINCT abalone_id, upper(trim(sex)) AS s, {", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in tables.ABALONE_MEASURES)}, rings FROM abalone WHERE rings BETWEEN 5 AND 15),
 prepared AS (SELECT abalone_id, CAST(CASE s WHEN 'I' THEN 0 WHEN 'M' THEN 1 WHEN 'F' THEN 2 END AS INTEGER) AS sex, {", ".join(tables.ABALONE_MEASURES)}, rings FROM a)"""
 
 
@@ -238,7 +238,32 @@ def _p5(spark, d):
 @query(r"""SELECT DISTINCT mushroom_id, f AS field_name FROM (SELECT mushroom_id, 'stalk_root' AS f, stalk_root AS v FROM mushroom UNION ALL SELECT mushroom_id, 'odor', odor FROM mushroom)
 WHERE v IS NULL OR NOT EXISTS (SELECT 1 FROM mushroom_codes c WHERE c.field_name = f AND (lower(c.code) = lower(regexp_replace(v, '^\s+|\s+$', '', 'g')) OR lower(c.meaning) = lower(regexp_replace(v, '^\s+|\s+$', '', 'g'))))""")
 def p5_found(spark, d):
-    return impute.fill_log(*_p5(spark, d)).select(F.col("id").alias("mushroom_id"), F.col("field").alias("field_name"))
+    """The missing values as the donor search leaves them: each has a donor, or the mark that nobody has one."""
+    log = impute.fill_log(*_p5(spark, d))
+    settled = F.when(F.col("donor_id").isNotNull(), F.col("value").isNotNull() & F.col("distance").isNotNull()).otherwise(F.col("donor_group").isNull())
+    return log.where(settled).select(F.col("id").alias("mushroom_id"), F.col("field").alias("field_name"))
+
+
+_P5_SQL = r"""WITH m AS (SELECT mushroom_id, any_value(CAST(lot_id AS VARCHAR)) AS lot, any_value(CAST(collected_at AS DATE)) AS day, any_value(stalk_root) AS stalk_root, any_value(odor) AS odor FROM mushroom GROUP BY mushroom_id),
+cell AS (SELECT mushroom_id, lot, day, f, regexp_replace(lower(v), '^\s+|\s+$', '', 'g') AS v FROM (SELECT *, 'stalk_root' AS f, stalk_root AS v FROM m UNION ALL SELECT *, 'odor', odor FROM m)),
+code AS (SELECT field_name AS f, lower(trim(code)) AS k, code FROM mushroom_codes UNION SELECT field_name, lower(trim(meaning)), code FROM mushroom_codes WHERE meaning IS NOT NULL),
+seen AS MATERIALIZED (SELECT mushroom_id, lot, day, c.f, code FROM cell c LEFT JOIN code k ON k.f = c.f AND k.k = c.v)
+"""
+
+
+@query(_P5_SQL + """SELECT mushroom_id, f AS field_name, CASE WHEN lot IN (SELECT lot FROM seen s WHERE s.f = seen.f AND s.code IS NOT NULL AND lot IS NOT NULL) THEN 'group'
+WHEN day IN (SELECT day FROM seen s WHERE s.f = seen.f AND s.code IS NOT NULL AND day IS NOT NULL) THEN 'day' WHEN EXISTS (SELECT 1 FROM seen s WHERE s.f = seen.f AND s.code IS NOT NULL) THEN 'all' END AS donor_group, true AS sound FROM seen WHERE code IS NULL""")
+def p5_donors(spark, d):
+    """Where each donor was found, and whether it really is of that lot or day and has the value it gives."""
+    log = materialize(impute.fill_log(*_p5(spark, d)))
+    codes = impute.code_tables(tables.read(spark, d, "mushroom_codes"))
+    rows = tables.read(spark, d, "mushroom").select("mushroom_id", "lot_id", F.to_date("collected_at").alias("day"), *[impute.canonical_code(f, codes[f]).alias(f) for f in ("stalk_root", "odor")]).dropDuplicates(["mushroom_id"])
+    given = rows.select(F.col("mushroom_id").alias("donor_id"), F.col("lot_id").alias("from_lot"), F.col("day").alias("from_day"), F.col("stalk_root").alias("gives_stalk_root"), F.col("odor").alias("gives_odor"))
+    near = log.join(given, "donor_id", "left").join(rows.select(F.col("mushroom_id").alias("id"), "lot_id", "day"), "id")
+    gives = F.when(F.col("field") == "odor", F.col("gives_odor")).otherwise(F.col("gives_stalk_root"))
+    place = F.when(F.col("donor_group") == "group", F.col("from_lot") == F.col("lot_id")).when(F.col("donor_group") == "day", F.col("from_day") == F.col("day")).otherwise(True)
+    sound = F.when(F.col("donor_id").isNull(), F.col("value").isNull()).otherwise(F.coalesce(place & (gives == F.col("value")), F.lit(False)))
+    return near.select(F.col("id").alias("mushroom_id"), F.col("field").alias("field_name"), "donor_group", sound.alias("sound"))
 
 
 @query()
@@ -251,6 +276,13 @@ def p5_filled(spark, d):
     return impute.fill_missing(*_p5(spark, d))
 
 
+@query(_P5_SQL + """SELECT mushroom_id, max(code) FILTER (f = 'stalk_root') AS stalk_root, max(code) FILTER (f = 'odor') AS odor, bool_or(f = 'stalk_root' AND code IS NULL) AS stalk_root_filled, bool_or(f = 'odor' AND code IS NULL) AS odor_filled FROM seen GROUP BY mushroom_id""")
+def p5_marks(spark, d):
+    """The filled table without its fills: observed values are unchanged, every other one is marked."""
+    out = impute.fill_missing(*_p5(spark, d))
+    return out.select("mushroom_id", *[F.when(~F.col(f"{f}_filled"), F.col(f)).alias(f) for f in ("stalk_root", "odor")], "stalk_root_filled", "odor_filled")
+
+
 # --- graphs ----------------------------------------------------------------------------------------------------------------------------
 
 

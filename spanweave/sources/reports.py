@@ -28,13 +28,14 @@ def report_lines(report: DataFrame, scale: float = 1.0) -> DataFrame:
 
 
 def export_text(report: DataFrame, path: str, name: str, scale: float = 1.0, message: str | None = None) -> None:
-    """Append a report of a few lines to a text file on the driver."""
-    lines = [r["line"] for r in report_lines(report, scale).orderBy("position", "line").limit(1000).collect()]
+    """Append a report to a text file on the driver, line by line as they come."""
     header = "".join([" " * 15, *[f"{m:>10}" for m in METRICS]])
     with open(path, "a", encoding="utf-8") as out:
         if message is not None:
             out.write(f"\n{message}")
-        out.write(f"\n{name}\n\n{header}\n" + "".join(f"{line}\n" for line in lines))
+        out.write(f"\n{name}\n\n{header}\n")
+        for r in report_lines(report, scale).orderBy("position", "line").toLocalIterator():
+            out.write(f"{r['line']}\n")
     log.info("report %s appended to %s", name, path)
 
 

@@ -20,15 +20,14 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def abalone(spark: SparkSession, d: str) -> DataFrame:
-    """``(abalone_id, sex int, measures, rings)`` of records with 5 to 15 rings; stray spellings of sex are trimmed and upper-cased."""
-    rows = read(spark, d, "abalone").select("abalone_id", F.upper(F.trim("sex")).alias("sex"), *ABALONE_MEASURES, "rings").where("rings between 5 and 15")
+    """``(abalone_id, sex int, measures, rings)`` of records with 5 to 15 rings; stray spellings of sex are trimmed and upper-cased, a measure that is no number is null."""
+    measures = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ABALONE_MEASURES]
+    rows = read(spark, d, "abalone").select("abalone_id", F.upper(F.trim("sex")).alias("sex"), *measures, "rings").where("rings between 5 and 15")
     return rows.dropDuplicates(["abalone_id"]).withColumn("sex", tabular.map_values(F.col("sex"), tabular.SEX_CODES))
 
 
 def abalone_vectors(spark: SparkSession, d: str) -> DataFrame:
     rows = abalone(spark, d).dropna(subset=["sex", *ABALONE_MEASURES])
-    for c in ABALONE_MEASURES:
-        rows = rows.where(~F.isnan(c))
     return tabular.vectors(rows, "abalone_id", ["sex", *ABALONE_MEASURES], tabular.in_labels(F.col("rings"), YOUNG_RINGS)).withColumnRenamed("abalone_id", "id")
 
 
