@@ -31,6 +31,8 @@ from spanweave.session import materialize
 
 _RUN = re.compile(r"[^\W_]+")
 _MEMO_WORDS = 500_000
+#: Rows of one key that a scan pairs up itself; keys with more go through a join, which splits them over tasks.
+RUN_ROWS = 1000
 #: Up to this many ids (8 MB) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: the odd golden-ratio multiplier
@@ -204,15 +206,77 @@ def _verified(signed: Signed, found: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
+def _runs(star: bool):
+    """Over rows (key, id) sorted by both: pairs ``(a, b)`` of ids with one key, a < b; with ``star`` only those with the key's smallest id.
+
+    Without it, a key of more than ``RUN_ROWS`` rows gives ``(key, null)`` instead.
+    """
+
+    def pairs(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, lag = np.arange(len(key)), 0
+        while len(at):
+            lag += 1
+            at = at[at + lag < len(key)]
+            at = at[key[at] == key[at + lag]]
+            here = at[ids[at] != ids[at + lag]]
+            yield from out(ids[here], ids[here + lag])
+
+    def out(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, skipped, least = np.empty(0, np.int64), np.empty(0, np.int64), None, None
+        for batch in batches:
+            k, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if star:
+                if not len(k):
+                    continue
+                first = np.concatenate([[True], k[1:] != k[:-1]])
+                low = i[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+                if least is not None and least[0] == k[0]:
+                    low[: np.searchsorted(k, k[0], side="right")] = least[1]
+                least = (k[-1], low[-1])
+                yield from out(low[low != i], i[low != i])
+                continue
+            key, ids = np.concatenate([key, k]), np.concatenate([ids, i])
+            if skipped is not None:
+                rest = key != skipped
+                key, ids = key[rest], ids[rest]
+            if not len(key):
+                continue
+            cut = np.searchsorted(key, key[-1])  # the last run may go on
+            sizes = np.diff(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])))
+            long = np.repeat(sizes > RUN_ROWS, sizes)
+            if long.any():
+                hot = np.unique(key[long])
+                yield pa.RecordBatch.from_arrays([pa.array(hot), pa.nulls(len(hot), pa.int64())], names=["a", "b"])
+                if long[-1]:
+                    skipped = key[-1]
+            done = ~long & (np.arange(len(key)) < cut)
+            yield from pairs(key[done], ids[done])
+            tail = ~long & (np.arange(len(key)) >= cut)
+            key, ids = key[tail], ids[tail]
+        yield from pairs(key, ids)
+
+    return run
+
+
 def class_links(signed: Signed, similarity: float) -> DataFrame:
     """``(a, b, likeness)``, a < b, for all found pairs of classes whose sets share ``similarity`` of their union.
 
-    The join on the variants' key is of rows of two numbers; AQE splits a hot key's rows over tasks, and no key is capped.
+    The equality join on the variants' key is one exchange of rows of two numbers, sorted and scanned for runs; keys with many rows are joined
+    apart, where AQE splits their rows over tasks. No key is capped.
     """
     keyed = signed.keyed()
-    a, b = keyed.alias("a"), keyed.alias("b")
-    joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    return _verified(signed, materialize(joined.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()), similarity)
+    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs(False), "a long, b long").distinct())
+    found, hot = met.where("b is not null"), met.where("b is null").select(F.col("a").alias("key"))
+    if not hot.isEmpty():
+        rows = materialize(keyed.join(hot, "key", "left_semi"))
+        a, b = rows.alias("a"), rows.alias("b")
+        joined = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+        found = materialize(found.union(joined.select(F.col("a.id"), F.col("b.id"))).distinct())
+    return _verified(signed, found, similarity)
 
 
 def class_chains(signed: Signed, similarity: float) -> DataFrame:
@@ -221,9 +285,9 @@ def class_chains(signed: Signed, similarity: float) -> DataFrame:
     Every class is compared with the smallest one of each of its keys first. What these links join is one chain already, so after that only pairs from different
     chains are compared.
     """
-    keyed = materialize(signed.keyed())
-    star = keyed.join(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z"), "key").where("id > a").select("a", F.col("id").alias("b")).distinct()
-    first = _verified(signed, materialize(star), similarity)
+    keyed = signed.keyed()
+    star = materialize(keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_runs(True), "a long, b long").distinct())
+    first = _verified(signed, star, similarity)
     chains = materialize(connected_components(first.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     placed = keyed.join(chains.withColumnRenamed("node", "id"), "id", "left").withColumn("chain", F.coalesce("component", "id")).select("key", "id", "chain")
     open_ = placed.join(placed.groupBy("key").agg(F.min("chain").alias("lo"), F.max("chain").alias("hi")).where("lo < hi").select("key"), "key", "left_semi")

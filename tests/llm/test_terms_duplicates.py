@@ -94,6 +94,35 @@ def test_pairs_against_brute_force(spark, similarity, shingle, least):
     assert groups[i + 3]["class_id"] == groups[0]["class_id"]
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_runs(monkeypatch, size):
+    """Runs that go over batches, and keys with more rows than a run may have."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(N, "RUN_ROWS", 6)
+    rng = random.Random(5)
+    rows = sorted({(rng.choice([1, 2, 3, 3, 3, 7, 8, 9] + list(range(20, 60))), rng.randrange(40)) for _ in range(120)} | {(90, k) for k in range(9)})
+    table = pa.table({"key": np.array([r[0] for r in rows]), "id": np.array([r[1] for r in rows])})
+    batches = [table.slice(k, size).combine_chunks().to_batches()[0] for k in range(0, len(rows), size)]
+    by = {}
+    for k, i in rows:
+        by.setdefault(k, []).append(i)
+    got = [r for b in N._runs(False)(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    want = {(a, b) for v in by.values() if len(v) <= 6 for a, b in itertools.combinations(v, 2)}
+    assert {r for r in got if r[1] is not None} == want and {r[0] for r in got if r[1] is None} == {k for k, v in by.items() if len(v) > 6}
+    star = {r for b in N._runs(True)(iter(batches)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert star == {(v[0], b) for v in by.values() for b in v[1:]}
+
+
+def test_hot_keys_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(N, "RUN_ROWS", 1)
+    rows = [(i, f"the quick brown fox jumps over the lazy dog while {i} seven green parrots watch it quietly from a tree") for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r["id_a"], r["id_b"]) for r in N.near_duplicate_pairs(df, "id", F.col("text"), 0.5, 3).collect()}
+    assert got == jaccard_pairs(rows, 3, 0, 0.5) and len(got) == 66
+
+
 def test_short_texts(spark):
     """Fewer words than a shingle are one shingle; no words are no shingle."""
     rows = [(1, "two words"), (2, "TWO  words"), (3, "words two"), (4, ""), (5, None), (6, "..."), (7, "one"), (8, "one"), (9, "two words more"), (10, "a b c d e"), (11, "a b c d e f")]
