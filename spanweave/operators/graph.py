@@ -3,6 +3,9 @@
 ``nodes(vid long, features array<double>, label int)`` has label -1 for unlabelled rows; ``edges(src, dst, weight)`` has src < dst, each
 undirected edge once. All pairs of n vertices are compared in blocks: a vertex is sent to as many block pairs as there are blocks, a
 block pair is one bounded matrix product, and what leaves it is what the operator needs (edges, partial sums, the best k, a local forest).
+
+Many graphs go through the operators at once as one graph of separate parts: ``nodes`` with a column ``run`` are compared inside their run only, and their
+``vid`` is unique over all runs.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ ONE_TASK_EDGES = 300_000
 
 @dataclass
 class Graph:
-    vertices: DataFrame  # vid, label, influence
+    vertices: DataFrame  # vid, label, influence; of many graphs also run, and place: the number within the run
     edges: DataFrame  # src, dst, weight
 
 
-def number_vertices(df: DataFrame, id_col: str, features: str, label: str) -> DataFrame:
-    """``(vid, id, features, label)``: labelled rows come first, then unlabelled ones (null or negative label), both by id."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("features"), F.coalesce(F.col(label).cast("int"), F.lit(-1)).alias("label"))
+def number_vertices(df: DataFrame, id_col: str, features: str, label: str, run: str | None = None) -> DataFrame:
+    """``(vid, id, features, label)``, with ``run`` also ``run``: labelled rows come first, then unlabelled ones (null or negative label), both by id; run after run."""
+    runs = [F.col(run).cast("long").alias("run")] if run else []
+    rows = df.select(*runs, F.col(id_col).cast("long").alias("id"), F.col(features).cast("array<double>").alias("features"), F.coalesce(F.col(label).cast("int"), F.lit(-1)).alias("label"))
     rows = rows.where("id is not null and features is not null").withColumn("label", F.when(F.col("label") < 0, -1).otherwise(F.col("label")))
-    return with_global_rank(rows, "vid", F.col("label") < 0, F.col("id")).select("vid", "id", "features", "label")
+    order = [F.col("run")] if run else []
+    return with_global_rank(rows, "vid", *order, F.col("label") < 0, F.col("id")).select(*(["run"] if run else []), "vid", "id", "features", "label")
 
 
 def union_labelled(labelled: DataFrame, unlabelled: DataFrame) -> DataFrame:
@@ -48,23 +53,28 @@ def union_labelled(labelled: DataFrame, unlabelled: DataFrame) -> DataFrame:
     return labelled.select("id", "features", F.col("label").cast("int").alias("label")).unionByName(unlabelled.select("id", "features", F.lit(-1).alias("label")))
 
 
-def _block_pairs(nodes: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """A row per vertex and block pair (p, q), p <= q, that its block is part of."""
-    n = nodes.count()
-    blocks = max(1, -(-n // block))
+def _block_pairs(nodes: DataFrame, block: int) -> tuple[DataFrame, int, int]:
+    """A row per vertex and block pair (p, q), p <= q, that its block is part of; and the numbers of blocks (of the largest run) and of runs."""
+    sizes = nodes.groupBy(*_run_of(nodes)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.lit(1))).first()
+    blocks = max(1, -(-(sizes[0] or 0) // block))
     own = F.pmod(F.col("vid"), F.lit(blocks)).cast("int")
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = nodes.select("vid", "features", "label", own.alias("b")).withColumn("o", F.explode(others))
-    return rows.select("vid", "features", "label", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")), blocks
+    rows = nodes.select(*_run_of(nodes), "vid", "features", "label", own.alias("b")).withColumn("o", F.explode(others))
+    return rows.select(*_run_of(nodes), "vid", "features", "label", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q")), blocks, sizes[1]
+
+
+def _run_of(nodes: DataFrame) -> list[str]:
+    return ["run"] if "run" in nodes.columns else []
 
 
 def _per_block(nodes: DataFrame, metric: str, gamma: float | None, kernel: Callable, schema: str, block: int) -> DataFrame:
     """Run ``kernel(rows_a, rows_b, weights, same)`` on every block pair; rows are (vid, label) arrays."""
     weigh = BLOCK_METRICS[check_metric(metric)]
-    placed, blocks = _block_pairs(nodes, block)
+    placed, blocks, runs = _block_pairs(nodes, block)
+    by = [*_run_of(nodes), "p", "q"]
 
     def run(key, table):
-        p, q = key[0].as_py(), key[1].as_py()
+        p, q = key[-2].as_py(), key[-1].as_py()
         vid, label, b = (table.column(c).to_numpy() for c in ("vid", "label", "b"))
         f = table.column("features").combine_chunks()
         x = f.flatten().to_numpy().reshape(len(vid), -1) if len(vid) else np.zeros((0, 1))
@@ -75,8 +85,8 @@ def _per_block(nodes: DataFrame, metric: str, gamma: float | None, kernel: Calla
         return pa.Table.from_pydict(kernel((vid[i], label[i]), (vid[j], label[j]), w, p == q))
 
     # several block pairs a task once there are many: a task holds one pair at a time, and tasks stay a small multiple of the cores
-    tasks = min(blocks * (blocks + 1) // 2, TASKS_PER_CORE * parallelism(nodes.sparkSession))
-    return placed.repartition(max(tasks, 1), "p", "q").groupBy("p", "q").applyInArrow(run, schema)
+    tasks = min(runs * blocks * (blocks + 1) // 2, TASKS_PER_CORE * parallelism(nodes.sparkSession))
+    return placed.repartition(max(tasks, 1), *by).groupBy(*by).applyInArrow(run, schema)
 
 
 def pairwise_weights(nodes: DataFrame, metric: str = "euclidean", gamma: float | None = None, positive: bool = True, block: int = BLOCK) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanweave.operators.components import connected_components
 from spanweave.operators.graph import Graph, both_directions
-from spanweave.session import materialize
+from spanweave.session import materialize, parallelism
 
 #: Vertices of a component that one task solves; larger trees go level by level through joins.
 KERNEL_VERTICES = 200_000
@@ -21,6 +21,8 @@ KERNEL_VERTICES = 200_000
 KERNEL_EDGES = 1_000_000
 #: Messages are rounded to so many digits, in joins and in kernels alike, so that a tie is one whatever the order of the sums.
 DIGITS = 9
+#: Rows of whole components, about, that a task's group takes together.
+PACK_ROWS = 50_000
 
 
 def factor(weight: Column, receiver: Column) -> tuple[Column, Column]:
@@ -29,6 +31,17 @@ def factor(weight: Column, receiver: Column) -> tuple[Column, Column]:
     return F.when(receiver <= 0, neg).otherwise(pos), F.when(receiver <= 0, pos).otherwise(neg)
 
 
+def _packed(df: DataFrame, *key: str) -> DataFrame:
+    """Add ``pack``: groups of whole components (``key``), so that many small ones cost one call and a large one is not split."""
+    return df.withColumn("pack", F.pmod(F.xxhash64(*key), F.lit(max(parallelism(df.sparkSession), -(-df.count() // PACK_ROWS)))))
+
+
+def _with_runs(graph: Graph) -> DataFrame:
+    """The vertices with ``run`` and ``place``; a single graph is run 0."""
+    v = graph.vertices
+    return v if "run" in v.columns else v.withColumn("run", F.lit(0).cast("long")).withColumn("place", F.col("vid"))
+
+
 # --- flooding max-product on general graphs -------------------------------------------------------------------------------------------
 
 
@@ -80,19 +93,19 @@ def loop_labels(graph: Graph, messages: DataFrame, digits: int | None = None) ->
     return graph.vertices.join(b, "vid", "left").select("vid", F.when(F.col("label") >= 0, F.col("label")).otherwise(choice).cast("int").alias("label"))
 
 
-def _flood_kernel(rounds: int, normalize: bool):
-    """Vectorised flooding of whole components in one task, for the round counts that a job per round can't serve."""
+def _flood_kernel(normalize: bool):
+    """Vectorised flooding of whole components in one task, for the round counts that a job per round can't serve; ``rounds`` is the component's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vid = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
         s, t = np.searchsorted(vid, pdf["src"]), np.searchsorted(vid, pdf["dst"])
         order = np.lexsort((t, s))
-        s, t, w, label = s[order], t[order], pdf["weight"].to_numpy()[order], pdf["label"].to_numpy()[order]
+        s, t, w, label, rounds = s[order], t[order], pdf["weight"].to_numpy()[order], pdf["label"].to_numpy()[order], pdf["rounds"].to_numpy()[order]
         reverse = np.searchsorted(s * len(vid) + t, t * len(vid) + s)  # position of each edge's reversed edge
         m = np.zeros((len(s), 2))
         far = -4 * w
         with np.errstate(invalid="ignore", over="ignore"):
-            for _ in range(rounds):
+            for r in range(int(rounds.max())):
                 total = np.column_stack([np.bincount(t, m[:, c], len(vid)) for c in (0, 1)])
                 n = total[s] - m[reverse]
                 stay, switch = n, n[:, ::-1] + far[:, None]
@@ -100,6 +113,7 @@ def _flood_kernel(rounds: int, normalize: bool):
                 if normalize:
                     new = new - new.max(1, keepdims=True)
                 new = np.where(np.abs(new) < 1e15 * 10.0**-DIGITS, np.round(new, DIGITS), new)  # larger ones have no such digits
+                new = np.where((r < rounds)[:, None], new, m)
                 if np.array_equal(new, m):
                     break
                 m = new
@@ -109,26 +123,33 @@ def _flood_kernel(rounds: int, normalize: bool):
 
 
 def flood_exact(graph: Graph, threshold: int | None = None, normalize: bool = False, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """Messages after ``threshold + 1`` rounds, by default twice the number of edges of the whole graph, plus one; without normalisation.
+    """Messages after ``threshold + 1`` rounds, by default twice the number of edges of the whole graph (its run), plus one; without normalisation.
 
     Unnormalised messages of long runs on graphs with cycles grow without bound until only the influence decides; :func:`flood` with ``normalize`` is the
-    stable variant. Components are independent; those of up to ``kernel_edges`` edges are solved in one task each, larger ones by joins, round after round.
+    stable variant. Components are independent; those of up to ``kernel_edges`` edges are solved whole in tasks, larger ones by joins, round after round.
     """
-    rounds = (2 * graph.edges.count() if threshold is None else threshold) + 1
-    messages = start_messages(graph)
+    runs = _with_runs(graph).select(F.col("vid").alias("src"), "run")
+    if threshold is None:
+        number = graph.edges.join(runs, "src").groupBy("run").agg((2 * F.count(F.lit(1)) + 1).cast("int").alias("rounds"))
+        rounds = runs.join(number, "run")
+    else:
+        rounds = runs.withColumn("rounds", F.lit(threshold + 1))
+    messages = start_messages(graph).join(rounds.select("src", "rounds"), "src")
     comp = connected_components(graph.edges.select("src", "dst"))
     with_comp = materialize(messages.join(comp.select(F.col("node").alias("src"), "component"), "src"))
     large = with_comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * kernel_edges).select("component")
-    if not large.isEmpty():
-        inside = with_comp.join(large, "component", "left_semi").where("src < dst")
-        rest = with_comp.join(large, "component", "left_anti")
-        looped = flood(Graph(graph.vertices, materialize(inside.select("src", "dst", "weight"))), rounds, normalize)
-        return _flood_components(rest, rounds, normalize).unionByName(looped)
-    return _flood_components(with_comp, rounds, normalize)
+    if large.isEmpty():
+        return _flood_components(with_comp, normalize)
+    out = _flood_components(with_comp.join(large, "component", "left_anti"), normalize)
+    inside = materialize(with_comp.join(large, "component", "left_semi").where("src < dst"))
+    for r in inside.select("rounds").distinct().collect():  # a row per run with so large a component
+        mine = inside.where(F.col("rounds") == r["rounds"]).select("src", "dst", "weight")
+        out = out.unionByName(flood(Graph(graph.vertices, materialize(mine)), r["rounds"], normalize))
+    return out
 
 
-def _flood_components(with_comp: DataFrame, rounds: int, normalize: bool) -> DataFrame:
-    return with_comp.groupBy("component").applyInPandas(_flood_kernel(rounds, normalize), "src long, dst long, weight double, label int, m_neg double, m_pos double")
+def _flood_components(with_comp: DataFrame, normalize: bool) -> DataFrame:
+    return _packed(with_comp, "component").groupBy("pack").applyInPandas(_flood_kernel(normalize), "src long, dst long, weight double, label int, m_neg double, m_pos double")
 
 
 # --- exact max-product on forests ------------------------------------------------------------------------------------------------------
@@ -184,14 +205,14 @@ TREE = "vid long, component long, parent long, depth int, m_neg double, m_pos do
 
 
 def _tree_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-    v = pdf[pdf["dst"].isna()]
-    e = pdf[pdf["dst"].notna()]
-    return solve_tree(v["src"].astype(int).tolist(), v["label"].astype(int).tolist(), v["influence"].astype(int).tolist(), list(zip(e["src"].astype(int), e["dst"].astype(int), e["weight"], strict=True)))
+    edges = {c: list(zip(e["src"].astype(int), e["dst"].astype(int), e["weight"], strict=True)) for c, e in pdf[pdf["dst"].notna()].groupby("component")}
+    trees = pdf[pdf["dst"].isna()].groupby("component")
+    return pd.concat([solve_tree(v["src"].astype(int).tolist(), v["label"].astype(int).tolist(), v["influence"].astype(int).tolist(), edges.get(c, [])) for c, v in trees], ignore_index=True)
 
 
 def _forest_components(graph: Graph) -> DataFrame:
     comp = connected_components(graph.edges.select("src", "dst"))
-    vertices = graph.vertices.join(comp.withColumnRenamed("node", "vid"), "vid", "left")
+    vertices = graph.vertices.select("vid", "label", "influence").join(comp.withColumnRenamed("node", "vid"), "vid", "left")
     return materialize(vertices.withColumn("component", F.coalesce("component", "vid")))
 
 
@@ -210,7 +231,7 @@ def tree_inference(graph: Graph, kernel_vertices: int = KERNEL_VERTICES) -> Data
     small, large = sized.where(F.col("size") <= kernel_vertices), sized.where(F.col("size") > kernel_vertices)
     rows = small.select("component", F.col("vid").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "label", "influence")
     inner = graph.edges.join(small.select(F.col("vid").alias("src"), "component"), "src").select("component", "src", "dst", "weight", F.lit(None).cast("int").alias("label"), F.lit(None).cast("int").alias("influence"))
-    solved = rows.unionByName(inner).groupBy("component").applyInPandas(_tree_kernel, TREE)
+    solved = _packed(rows.unionByName(inner), "component").groupBy("pack").applyInPandas(_tree_kernel, TREE)
     if large.isEmpty():
         return solved
     return solved.unionByName(_tree_by_levels(large.drop("size"), graph.edges.join(large.select(F.col("vid").alias("src")), "src")))
@@ -339,6 +360,11 @@ def max_flow_side(n: int, source: np.ndarray, sink: np.ndarray, edges: list[tupl
 
 
 def _cut_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pd.concat([_cut_replicate(part) for _, part in pdf.groupby("rep")], ignore_index=True)
+
+
+def _cut_replicate(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of one replicate: cut together, as separate ones have separate flows."""
     v, e = pdf[pdf["dst"].isna()], pdf[pdf["dst"].notna()]
     vid = v["src"].to_numpy().astype(np.int64)
     order = np.argsort(vid)
@@ -375,7 +401,7 @@ def _cuts(vertices: DataFrame, edges: DataFrame, cuts: int, kernel_edges: int =
 def _cut_components(every: DataFrame, links: DataFrame) -> DataFrame:
     rows = every.select("rep", "component", F.col("vid").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "c_pos", "c_neg")
     inside = links.select("rep", "component", "src", "dst", "weight", F.lit(0.0).alias("c_pos"), F.lit(0.0).alias("c_neg"))
-    return rows.unionByName(inside).groupBy("rep", "component").applyInPandas(_cut_kernel, "rep int, vid long, side int")
+    return _packed(rows.unionByName(inside), "rep", "component").groupBy("pack").applyInPandas(_cut_kernel, "rep int, vid long, side int")
 
 
 def _push_relabel(every: DataFrame, links: DataFrame, max_rounds: int = 100_000, pulses: int = 4) -> DataFrame:
@@ -440,30 +466,40 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def noisy_edges(edges: DataFrame, cuts: int = 4, share: float = 0.3, low: float = -0.6, high: float = 0.4, seed: int = 0) -> DataFrame:
+def noisy_edges(edges: DataFrame, cuts: int = 4, share: float = 0.3, low: float = -0.6, high: float = 0.4, seed: int = 0, ends: tuple[str, str] = ("src", "dst")) -> DataFrame:
     """``(rep, src, dst, weight)``: the graph itself as replicate 0 and ``cuts`` copies, where an edge is moved with probability ``share`` by a uniform number in
-    [low, high); weights don't fall below 0."""
+    [low, high); weights don't fall below 0. ``ends`` name the columns whose numbers the noise derives from."""
     r = edges.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(cuts))))
-    hit = uniform(F.lit(seed), F.lit("hit"), F.col("rep"), F.col("src"), F.col("dst")) < share
-    by = F.lit(low) + (high - low) * uniform(F.lit(seed), F.lit("by"), F.col("rep"), F.col("src"), F.col("dst"))
+    hit = uniform(F.lit(seed), F.lit("hit"), F.col("rep"), *map(F.col, ends)) < share
+    by = F.lit(low) + (high - low) * uniform(F.lit(seed), F.lit("by"), F.col("rep"), *map(F.col, ends))
     return r.select("rep", "src", "dst", F.when((F.col("rep") > 0) & hit, F.greatest(F.col("weight") + by, F.lit(0.0))).otherwise(F.col("weight")).alias("weight"))
 
 
-def accepted_cuts(sides: DataFrame, n: int, balance: float = 0.06) -> DataFrame:
-    """``(rep, size)``: the base cut always, another if its side of label 1, the terminal counted, is between ``balance`` and 1 - ``balance`` of the n + 2 vertices."""
-    size = sides.groupBy("rep").agg((F.sum("side") + 1).alias("size"))
-    return size.where((F.col("rep") == 0) | F.col("size").between(balance * (n + 2), (1 - balance) * (n + 2)))
+def accepted_cuts(sides: DataFrame, n: int | DataFrame, balance: float = 0.06) -> DataFrame:
+    """``(rep, size)``: the base cut always, another if its side of label 1, the terminal counted, is between ``balance`` and 1 - ``balance`` of the n + 2 vertices.
+
+    Of many graphs ``sides`` has ``run``, ``n`` is ``(run, n)``, and so the result has ``run``.
+    """
+    if isinstance(n, int):
+        size = sides.groupBy("rep").agg((F.sum("side") + 1).alias("size")).withColumn("n", F.lit(n))
+    else:
+        size = sides.groupBy("run", "rep").agg((F.sum("side") + 1).alias("size")).join(n, "run")
+    return size.where((F.col("rep") == 0) | F.col("size").between(balance * (F.col("n") + 2), (1 - balance) * (F.col("n") + 2))).drop("n")
 
 
 def randomized_mincut(graph: Graph, cuts: int = 4, seed: int = 0, balance: float = 0.06) -> DataFrame:
     """``(vid, label, votes, accepted)``: majority of the accepted cuts; all replicates are solved in one job."""
-    sides = _cuts(graph.vertices, noisy_edges(graph.edges, cuts, seed=seed), cuts).select("rep", "vid", "side")
+    vertices = _with_runs(graph)
+    place = vertices.select("vid", "place")
+    edges = graph.edges.join(place.select(F.col("vid").alias("src"), F.col("place").alias("from")), "src").join(place.select(F.col("vid").alias("dst"), F.col("place").alias("to")), "dst")
+    sides = _cuts(graph.vertices, noisy_edges(edges, cuts, seed=seed, ends=("from", "to")), cuts).select("rep", "vid", "side")
     fixed = graph.vertices.where("label >= 0").select(F.explode(F.sequence(F.lit(0), F.lit(cuts))).alias("rep"), "vid", F.col("label").alias("side"))
-    every = materialize(sides.unionByName(fixed))
-    good = materialize(accepted_cuts(every, graph.vertices.count(), balance))
-    number = good.count()
-    votes = every.join(F.broadcast(good.select("rep")), "rep").groupBy("vid").agg(F.sum("side").alias("votes"))  # at most cuts + 1 rows
-    return votes.select("vid", (F.col("votes") > number // 2).cast("int").alias("label"), "votes", F.lit(number).alias("accepted"))
+    every = materialize(sides.unionByName(fixed).join(vertices.select("vid", "run"), "vid"))
+    good = accepted_cuts(every, vertices.groupBy("run").agg(F.count(F.lit(1)).alias("n")), balance)
+    number = good.groupBy("run").agg(F.count(F.lit(1)).cast("int").alias("accepted"))
+    good = materialize(good.select("run", "rep").join(number, "run"))  # at most cuts + 1 rows a run
+    votes = every.join(good, ["run", "rep"]).groupBy("vid").agg(F.sum("side").alias("votes"), F.first("accepted").alias("accepted"))
+    return votes.select("vid", (F.col("votes") > F.floor(F.col("accepted") / 2)).cast("int").alias("label"), "votes", "accepted")
 
 
 # --- dispatch --------------------------------------------------------------------------------------------------------------------------

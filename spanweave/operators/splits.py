@@ -40,14 +40,25 @@ def nested_splits(df: DataFrame, id_col: str, label: str, test_share: float = 0.
 def stratified_splits_within(df: DataFrame, by: list[str], id_col: str, label: str, test_share: float, folds: int, seed: int) -> DataFrame:
     """Splits inside groups ``by`` (an outer fold): ranks per (group, inner fold, class) in hash ranges as in :func:`stratified_splits`."""
     rows = df.withColumn("inner", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    rows = rows.withColumn("h", hash_rank_key(seed, F.concat_ws(".", *by, "inner"), F.col(id_col))).withColumn("part", F.substring("h", 1, PREFIX))
-    group = [*by, "inner", label]
+    rows = rows.withColumn("h", hash_rank_key(seed, F.concat_ws(".", *by, "inner"), F.col(id_col)))
+    return _ranked(rows, [*by, "inner"], id_col, label, test_share)
+
+
+def stratified_runs(df: DataFrame, run: str, id_col: str, label: str, test_share: float, seed: int = 0) -> DataFrame:
+    """``(run, id_col, label, is_test)``: inside each run the split that :func:`stratified_splits` makes of it as fold 0."""
+    rows = df.select(run, id_col, label).withColumn("h", hash_rank_key(seed, F.lit(0), F.col(id_col)))
+    return _ranked(rows, [run], id_col, label, test_share)
+
+
+def _ranked(rows: DataFrame, by: list[str], id_col: str, label: str, test_share: float) -> DataFrame:
+    rows = rows.withColumn("part", F.substring("h", 1, PREFIX))
+    group = [*by, label]
     sizes = rows.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*group)
     before = sizes.withColumn("start", F.sum("n").over(w.orderBy("part")) - F.col("n")).withColumn("size", F.sum("n").over(w)).drop("n")
     rank = F.row_number().over(Window.partitionBy(*group, "part").orderBy("h", id_col)) + F.col("start")
     placed = rows.join(before, [*group, "part"]).withColumn("is_test", rank <= F.round(F.lit(test_share) * F.col("size")))
-    return placed.select(*by, "inner", id_col, label, "is_test")
+    return placed.select(*by, id_col, label, "is_test")
 
 
 def take(df: DataFrame, split: DataFrame, id_col: str, test: bool) -> DataFrame:

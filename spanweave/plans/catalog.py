@@ -602,13 +602,12 @@ def svm_baseline(spark, d):
 
 @query()
 def transductive_report(spark, d):
-    configs = [experiment.Config("mincut", "euclidean", "knn"), experiment.Config("graphical_tree", "euclidean", "knn_mst")]
-    return experiment.run_transductive(_emb(spark, d), folds=1, configs=configs, ks=range(2, 4))
+    return experiment.run_transductive(_emb(spark, d))
 
 
 @query()
 def inductive_report(spark, d):
-    return experiment.run_inductive(_emb(spark, d), folds=1, configs=[experiment.Config("graphical_tree", "cosine", "mst")])
+    return experiment.run_inductive(_emb(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

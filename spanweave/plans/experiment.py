@@ -1,21 +1,26 @@
-"""Experiments: pipelines, the parameter grid, the search for k, transductive and inductive runs, and the registry of datasets."""
+"""Experiments: pipelines, the parameter grid, the search for k, transductive and inductive runs, and the registry of datasets.
+
+An experiment's folds, configurations and values of k are columns, not loops: similarities are computed once for each fold and metric, all graphs
+that follow from them are separate parts of one graph, and each of the four models labels all its graphs at once.
+"""
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.metrics import COLUMN_METRICS
 from spanweave.operators import evaluate, splits
-from spanweave.operators.classify import SUPERVISED
-from spanweave.operators.graph import GRAPH_TYPES, Graph, build_graph, influence, knn_of, neighbour_candidates, number_vertices, spanning_forest
+from spanweave.operators.classify import fit_many, predict_many
+from spanweave.operators.graph import GRAPH_TYPES, Graph, build_graph, influence, knn_of, mst_graph, neighbour_candidates, number_vertices, spanning_forest
 from spanweave.operators.inference import MODELS, infer, unlabelled_predictions
 from spanweave.session import materialize
+from spanweave.sources import reports
 from spanweave.sources.tabular import in_labels, parity
 
 log = logging.getLogger("spanweave")
@@ -156,57 +161,128 @@ def merge_pseudo_labels(rows: DataFrame, predicted: DataFrame, id_col: str = "id
     return rows.join(predicted.select(id_col, "predicted"), id_col, "left").withColumn("y_train", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.coalesce("predicted", "label")).cast("int"))
 
 
-def _k_of(config: Config, labelled: DataFrame, ks, seed: int) -> int:
-    return search_k(labelled, config.model, config.metric, config.graph_type, ks, seed)[0] if "knn" in config.graph_type else 0
+@dataclass
+class Similarities:
+    """What all graphs of some runs follow from, for each metric."""
+
+    nodes: DataFrame  # run, vid, id, label
+    vertices: DataFrame  # metric, run, vid, label, influence
+    candidates: DataFrame  # metric, run, src, dst, weight, rank, labelled_rank
+    forests: DataFrame  # metric, run, src, dst, weight
+    size: int
+
+
+def similarities(rows: DataFrame, metrics: list[str], most: int) -> Similarities:
+    """``rows(run, id, features, label)``, label -1 if hidden; graphs of up to ``most`` neighbours."""
+    nodes = materialize(number_vertices(rows, "id", "features", "label", "run"))
+    where, vertices, candidates, forests = nodes.select(F.col("vid").alias("src"), "run"), [], [], []
+    for metric in metrics:
+        tag = F.lit(metric).alias("metric")
+        vertices.append(nodes.join(influence(nodes, metric).select("vid", "influence"), "vid").select(tag, "run", "vid", "label", "influence"))
+        candidates.append(neighbour_candidates(nodes, metric, None, most).join(where, "src").select(tag, "run", "src", "dst", "weight", "rank", "labelled_rank"))
+        forests.append(mst_graph(nodes, metric).join(where, "src").select(tag, "run", "src", "dst", "weight"))
+    every = [materialize(reduce(DataFrame.unionByName, x)) for x in (vertices, candidates, forests)]
+    return Similarities(nodes.drop("features"), *every, nodes.count())
+
+
+def label_graphs(base: Similarities, wanted: DataFrame) -> DataFrame:
+    """``wanted(graph, run, model, metric, graph_type, k)``, graph numbers from 0 -> ``(graph, run, id, predicted)`` of every graph's hidden rows.
+
+    A vertex of graph g is numbered g times the vertices of all runs higher, so graphs never touch. ``wanted`` has a row per graph of the grid and is broadcast.
+    """
+    wanted = materialize(wanted)
+    high = lambda c: (F.col("graph") * base.size + F.col(c)).alias(c)
+    first = base.nodes.groupBy("run").agg(F.min("vid").alias("first"))
+    placed = base.vertices.join(F.broadcast(first), "run").join(F.broadcast(wanted), ["run", "metric"])
+    vertices = materialize(placed.select("graph", "model", F.col("graph").alias("run"), high("vid"), (F.col("vid") - F.col("first")).alias("place"), "label", "influence"))
+    near = base.candidates.join(F.broadcast(wanted.where("graph_type <> 'mst'")), ["run", "metric"])
+    chosen = near.where(((F.col("rank") <= F.col("k")) | (F.col("labelled_rank") == 1)) & (F.col("weight") > 0)).select("model", "graph_type", high("src"), high("dst"), "weight")
+    knn = materialize(chosen.groupBy("model", "graph_type", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight")))
+    model_of = vertices.select(F.col("vid").alias("src"), "model")
+    thinned = spanning_forest(knn.where("graph_type = 'knn_mst'").select("src", "dst", "weight").repartition("src")).join(model_of, "src")
+    whole = base.forests.join(F.broadcast(wanted.where("graph_type = 'mst'")), ["run", "metric"]).select("model", high("src"), high("dst"), "weight")
+    edges = materialize(knn.where("graph_type = 'knn'").drop("graph_type").unionByName(thinned.select("model", "src", "dst", "weight")).unionByName(whole))
+    found = []
+    for model in sorted(r["model"] for r in wanted.select("model").distinct().collect()):
+        mine = Graph(vertices.where(F.col("model") == model).drop("model", "graph"), edges.where(F.col("model") == model).drop("model"))
+        found.append(materialize(unlabelled_predictions(mine, infer(mine, model))))
+    predicted = reduce(DataFrame.unionByName, found).select(F.floor(F.col("vid") / base.size).alias("graph"), (F.col("vid") % base.size).alias("vid"), "predicted")
+    return predicted.join(base.nodes.select("run", "vid", "id"), "vid").select("graph", "run", "id", "predicted")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Number the rows of a grid."""
+    return df.withColumn("graph", F.row_number().over(Window.orderBy("run", "model", "metric", "graph_type", "k")).cast("long") - 1)
+
+
+def _grid(spark: SparkSession, configs: list[Config]) -> DataFrame:
+    return spark.createDataFrame([(c.model, c.metric, c.graph_type) for c in configs], "model string, metric string, graph_type string")
+
+
+def search_runs(labelled: DataFrame, configs: list[Config], ks=K_RANGE, seed: int = 0) -> DataFrame:
+    """:func:`search_k` for every run of ``labelled(run, id, features, y)`` and every configuration: ``(run, model, metric, graph_type, k)``; k is 0 for whole trees."""
+    spark = labelled.sparkSession
+    grid = labelled.select("run").distinct().crossJoin(F.broadcast(_grid(spark, configs)))  # a row per run and configuration
+    whole = grid.where("graph_type = 'mst'").withColumn("k", F.lit(0))
+    near = [c for c in configs if c.graph_type != "mst"]
+    if not near:
+        return whole
+    half = splits.stratified_runs(labelled, "run", "id", "y", 0.5, seed)
+    hidden = materialize(labelled.join(half.select("run", "id", "is_test"), ["run", "id"]).select("run", "id", "features", "y", F.when(F.col("is_test"), -1).otherwise(F.col("y")).alias("label")))
+    base = similarities(hidden, sorted({c.metric for c in near}), max(ks))
+    wanted = materialize(_numbered(grid.where("graph_type <> 'mst'").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))))
+    scored = label_graphs(base, wanted).join(hidden.select("run", "id", "y"), ["run", "id"])
+    scores = F.broadcast(wanted).join(evaluate.accuracy(scored, ["graph"]), "graph", "left").fillna(0.0, ["accuracy"])
+    best = scores.groupBy("run", "model", "metric", "graph_type").agg(F.max_by("k", F.struct("accuracy", (-F.col("k")).alias("m"))).alias("k"))
+    return best.unionByName(whole)
 
 
 def run_transductive(rows: DataFrame, unlabelled_share: float = 0.7, folds: int = 5, configs: list[Config] | None = None, supervised: tuple[str, ...] = ("svm", "logistic"), ks=K_RANGE, seed: int = 0) -> DataFrame:
     """``(experiment, fold, bucket, metric, value)``: every model trained on the labelled part of a fold and scored on its unlabelled part."""
+    configs = parameter_grid() if configs is None else configs
     rows = materialize(rows.select("id", "features", F.col("y").cast("int").alias("y")))
-    every = materialize(splits.stratified_splits(rows, "id", "y", unlabelled_share, folds, seed))
-    reports = []
-    for fold in range(folds):
-        hidden = materialize(hide_labels(rows, every.where(F.col("fold") == fold)))
-        labelled, rest = hidden.where("label >= 0").select("id", "features", "y"), hidden.where("label < 0")
-        for name in supervised:
-            predicted = SUPERVISED[name](labelled, rest, "id")
-            reports.append(_report(predicted.join(rest.select("id", "y"), "id"), name, fold))
-        for config in configs if configs is not None else parameter_grid():
-            k = _k_of(config, labelled, ks, seed)
-            log.debug("fold %s %s k=%s", fold, config.name, k)
-            pipeline = Pipeline().set_params(trans__graph_type=config.graph_type, trans__metric=config.metric, infer__model_type=config.model)
-            predicted = pipeline.fit(hidden.select("id", "features", "label"), max(k, 1)).predict()
-            reports.append(_report(predicted.join(rest.select("id", "y"), "id"), config.name, fold))
-    return reduce(DataFrame.unionByName, reports)
+    split = splits.stratified_splits(rows, "id", "y", unlabelled_share, folds, seed)
+    every = materialize(rows.join(split.select(F.col("fold").cast("long").alias("run"), "id", "is_test"), "id").select("run", "id", "features", "y", F.when(F.col("is_test"), -1).otherwise(F.col("y")).alias("label")))
+    labelled, rest = every.where("label >= 0").drop("label"), every.where("label < 0")
+    models = fit_many(labelled, supervised).withColumn("by", F.col("run"))
+    told = [predict_many(materialize(models), rest.withColumn("by", F.col("run")), "by").select(F.col("name").alias("experiment"), "run", "id", "predicted")]
+    if configs:
+        base = similarities(every, sorted({c.metric for c in configs}), max(ks))
+        wanted = materialize(_numbered(search_runs(labelled, configs, ks, seed)))
+        named = F.concat_ws("/", "model", "metric", "graph_type").alias("experiment")
+        told.append(label_graphs(base, wanted).join(F.broadcast(wanted.select("graph", named)), "graph").select("experiment", "run", "id", "predicted"))
+    return _reports(reduce(DataFrame.unionByName, told), rest.select("run", "id", "y"))
 
 
 def run_inductive(rows: DataFrame, test_share: float = 0.3, unlabelled_share: float = 0.7, folds: int = 5, configs: list[Config] | None = None, supervised: tuple[str, ...] = ("svm", "logistic"), ks=K_RANGE, seed: int = 0) -> DataFrame:
     """``(experiment, fold, bucket, metric, value)`` over nested folds: supervised models on the labelled part alone, and on the whole training part after
     each graph model has labelled the rest of it; all scored on the outer test part. ``fold`` is outer * folds + inner."""
+    configs = parameter_grid() if configs is None else configs
     rows = materialize(rows.select("id", "features", F.col("y").cast("int").alias("y")))
-    roles = materialize(splits.nested_splits(rows, "id", "y", test_share, unlabelled_share, folds, seed))
-    reports = []
-    for outer in range(folds):
-        for inner in range(folds):
-            here = materialize(rows.join(roles.where((F.col("fold") == outer) & (F.col("inner") == inner)).select("id", "role"), "id"))
-            test, labelled = here.where("role = 'test'"), here.where("role = 'labelled'").select("id", "features", "y")
-            train = here.where("role <> 'test'").withColumn("label", F.when(F.col("role") == "labelled", F.col("y")).otherwise(-1))
-            number = outer * folds + inner
-            for name in supervised:
-                reports.append(_report(SUPERVISED[name](labelled, test, "id").join(test.select("id", "y"), "id"), name, number))
-            for config in configs if configs is not None else parameter_grid():
-                k = _k_of(config, labelled, ks, seed)
-                pipeline = Pipeline().set_params(trans__graph_type=config.graph_type, trans__metric=config.metric, infer__model_type=config.model)
-                predicted = pipeline.fit(train.select("id", "features", "label"), max(k, 1)).predict()
-                filled = materialize(merge_pseudo_labels(train, predicted).select("id", "features", F.col("y_train").alias("y")))
-                for name in supervised:
-                    reports.append(_report(SUPERVISED[name](filled, test, "id").join(test.select("id", "y"), "id"), f"{config.name}+{name}", number))
-    return reduce(DataFrame.unionByName, reports)
-
-
-def _report(df: DataFrame, name: str, fold: int) -> DataFrame:
-    report = evaluate.classification_report(df.select("y", "predicted"))
-    return report.select(F.lit(name).alias("experiment"), F.lit(fold).alias("fold"), "bucket", "metric", "value")
+    roles = splits.nested_splits(rows, "id", "y", test_share, unlabelled_share, folds, seed).select((F.col("fold") * folds + F.col("inner")).cast("long").alias("run"), "id", "role")
+    every = materialize(rows.join(roles, "id"))
+    test, labelled = every.where("role = 'test'").drop("role"), every.where("role = 'labelled'").drop("role")
+    hidden = every.where("role <> 'test'").select("run", "id", "features", "y", F.when(F.col("role") == "labelled", F.col("y")).otherwise(-1).alias("label"))
+    models = [fit_many(labelled, supervised).select(F.col("run").alias("by"), F.lit(-1).cast("long").alias("run"), "name", "scale", "weights")]
+    titles = rows.sparkSession.createDataFrame([(-1, "")], "run long, title string")
+    if configs:
+        base = similarities(hidden, sorted({c.metric for c in configs}), max(ks))
+        wanted = materialize(_numbered(search_runs(labelled, configs, ks, seed)))
+        told = label_graphs(base, wanted).select("graph", "run", "id", "predicted")
+        known = F.broadcast(wanted.select("graph", "run")).join(labelled.select("run", "id", F.col("y").alias("predicted")), "run").select("graph", "run", "id", "predicted")
+        filled = told.unionByName(known).join(rows.select("id", "features"), "id").select(F.col("graph").alias("run"), "features", F.col("predicted").alias("y"))
+        models.append(fit_many(filled, supervised).join(F.broadcast(wanted.select(F.col("graph").alias("run"), F.col("run").alias("by"))), "run").select("by", "run", "name", "scale", "weights"))
+        titles = titles.unionByName(wanted.select(F.col("graph").alias("run"), F.concat(F.concat_ws("/", "model", "metric", "graph_type"), F.lit("+")).alias("title")))
+    # a test row of a run is met by all models of that run; the model's number tells which
+    scored = predict_many(materialize(reduce(DataFrame.unionByName, models)).withColumn("run", F.col("run") * folds * folds + F.col("by")), test.withColumn("by", F.col("run")), "by")
+    scored = scored.select(F.floor(F.col("run") / (folds * folds)).alias("graph"), F.pmod("run", F.lit(folds * folds)).alias("run"), "name", "id", "predicted")
+    scored = scored.join(F.broadcast(titles.withColumnRenamed("run", "graph")), "graph").select(F.concat("title", "name").alias("experiment"), "run", "id", "predicted")
+    return _reports(scored, test.select("run", "id", "y"))
+
+
+def _reports(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    report = evaluate.classification_report(predicted.join(truth, ["run", "id"]), ["experiment", "run"])
+    return report.select("experiment", F.col("run").cast("int").alias("fold"), "bucket", "metric", "value")
 
 
 def average_reports(reports: DataFrame) -> DataFrame:
@@ -219,44 +295,75 @@ def embedding_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), parity(F.col("label")).alias("y"))
 
 
-def abalone_rows(spark: SparkSession, d: str) -> DataFrame:
+def abalone_rows(spark: SparkSession, d: str, **parameters) -> DataFrame:
     from spanweave.sources import tables
 
-    return tables.abalone_vectors(spark, d)
+    return tables.abalone_vectors(spark, d, **parameters)
 
 
-def mushroom_rows(spark: SparkSession, d: str) -> DataFrame:
+def mushroom_rows(spark: SparkSession, d: str, **parameters) -> DataFrame:
     from spanweave.sources import tables
 
-    return tables.mushroom_vectors(spark, d)
+    return tables.mushroom_vectors(spark, d, **parameters)
 
 
-def anuran_rows(spark: SparkSession, d: str) -> DataFrame:
+def anuran_rows(spark: SparkSession, d: str, **parameters) -> DataFrame:
     from spanweave.sources import tables
 
-    return tables.anuran_vectors(spark, d)
+    return tables.anuran_vectors(spark, d, **parameters)
 
 
-def reuters_rows(spark: SparkSession, d: str) -> DataFrame:
+def reuters_rows(spark: SparkSession, d: str, **parameters) -> DataFrame:
     from spanweave.sources import tables
 
-    return tables.reuters_vectors(spark, d)
+    return tables.reuters_vectors(spark, d, **parameters)
 
 
-def newsgroup_rows(spark: SparkSession, d: str) -> DataFrame:
+def newsgroup_rows(spark: SparkSession, d: str, **parameters) -> DataFrame:
     from spanweave.sources import tables
 
-    return tables.newsgroup_vectors(spark, d)
+    return tables.newsgroup_vectors(spark, d, **parameters)
 
 
-#: Dataset name -> rows(spark, folder of tables) -> (id, features, y).
-EXPERIMENTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"abalone": abalone_rows, "mushroom": mushroom_rows, "anuran": anuran_rows, "digit": embedding_rows, "newsgroups": newsgroup_rows, "reuters": reuters_rows}
+#: Dataset name -> rows(spark, folder of tables, **parameters) -> (id, features, y).
+EXPERIMENTS: dict[str, Callable[..., DataFrame]] = {"abalone": abalone_rows, "mushroom": mushroom_rows, "anuran": anuran_rows, "digit": embedding_rows, "newsgroups": newsgroup_rows, "reuters": reuters_rows}
 
+_TEXT = {"scorer": "tfidf", "features": 400, "normalizer": "tfidf"}
+#: Name of a parameter set -> (dataset, parameters). The three of newsgroups set one branch of categories against the rest.
+PARAMETERS: dict[str, tuple[str, dict]] = {
+    "anuran": ("anuran", {}),
+    "mushroom": ("mushroom", {}),
+    "abalone": ("abalone", {"positive": (5, 6, 7, 8, 9)}),
+    "newsgroups": ("newsgroups", {"prefix": "rec."} | _TEXT),
+    "newsgroups2": ("newsgroups", {"prefix": "sci."} | _TEXT),
+    "newsgroups3": ("newsgroups", {"prefix": "talk."} | _TEXT),
+    "digit": ("digit", {}),
+    "reuters": ("reuters", {"positive": "acq"} | _TEXT),
+}
 
-def get_experiment(name: str) -> Callable[[SparkSession, str], DataFrame]:
+
+def get_experiment(name: str, parameters: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """The dataset ``name`` under a named parameter set, by default the one of its own name."""
     if name not in EXPERIMENTS:
         raise KeyError(f"unknown experiment {name!r}; known: {', '.join(EXPERIMENTS)}")
-    return EXPERIMENTS[name]
-
-
-__all__ = ["Config", "EXPERIMENTS", "GRAPH_TYPES", "GraphInference", "GraphTransformer", "MODELS", "Pipeline", "average_reports", "best_k", "get_experiment", "in_labels", "parameter_grid", "run_inductive", "run_transductive", "search_k"]
+    chosen = parameters or name
+    if chosen not in PARAMETERS or PARAMETERS[chosen][0] != name:
+        raise KeyError(f"unknown parameters {chosen!r} of {name!r}; known: {', '.join(p for p, (n, _) in PARAMETERS.items() if n == name)}")
+    return partial(EXPERIMENTS[name], **PARAMETERS[chosen][1])
+
+
+def main(spark: SparkSession, d: str, folder: str, name: str = "abalone", parameters: str | None = None, **settings) -> None:
+    """Both experiments of a dataset, averaged over folds and appended to ``folder`` as text, with a log beside."""
+    handler = reports.log_to_file(f"{folder}/experiment.log")
+    try:
+        rows = get_experiment(name, parameters)(spark, d)
+        for kind, run in (("transductive", run_transductive), ("inductive", run_inductive)):
+            average = materialize(average_reports(run(rows, **settings)))
+            for experiment in sorted(r["experiment"] for r in average.select("experiment").distinct().collect()):
+                reports.export_text(average.where(F.col("experiment") == experiment), f"{folder}/{kind}.txt", experiment)
+    finally:
+        log.removeHandler(handler)
+        handler.close()
+
+
+__all__ = ["Config", "EXPERIMENTS", "GRAPH_TYPES", "GraphInference", "GraphTransformer", "MODELS", "Pipeline", "average_reports", "best_k", "PARAMETERS", "get_experiment", "in_labels", "main", "parameter_grid", "run_inductive", "run_transductive", "search_k"]

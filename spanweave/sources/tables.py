@@ -26,9 +26,9 @@ def abalone(spark: SparkSession, d: str) -> DataFrame:
     return rows.dropDuplicates(["abalone_id"]).withColumn("sex", tabular.map_values(F.col("sex"), tabular.SEX_CODES))
 
 
-def abalone_vectors(spark: SparkSession, d: str) -> DataFrame:
+def abalone_vectors(spark: SparkSession, d: str, positive: tuple[int, ...] = YOUNG_RINGS) -> DataFrame:
     rows = abalone(spark, d).dropna(subset=["sex", *ABALONE_MEASURES])
-    return tabular.vectors(rows, "abalone_id", ["sex", *ABALONE_MEASURES], tabular.in_labels(F.col("rings"), YOUNG_RINGS)).withColumnRenamed("abalone_id", "id")
+    return tabular.vectors(rows, "abalone_id", ["sex", *ABALONE_MEASURES], tabular.in_labels(F.col("rings"), positive)).withColumnRenamed("abalone_id", "id")
 
 
 def mushroom(spark: SparkSession, d: str) -> DataFrame:
@@ -63,16 +63,16 @@ def stories(spark: SparkSession, d: str, positive: str = "acq") -> DataFrame:
     return topic_batch(rows, positive).select("news_id", "text", "y")
 
 
-def reuters_vectors(spark: SparkSession, d: str, features: int = 400) -> DataFrame:
-    rows = stories(spark, d)
-    values, ranked = textfeatures.text_features(rows, "news_id", F.col("text"), F.col("y"), features=features)
+def reuters_vectors(spark: SparkSession, d: str, positive: str = "acq", **features) -> DataFrame:
+    rows = stories(spark, d, positive)
+    values, ranked = textfeatures.text_features(rows, "news_id", F.col("text"), F.col("y"), **features)
     dense = textfeatures.dense_vectors(values, "news_id", ranked, rows)
     return dense.join(rows.select("news_id", "y"), "news_id").withColumnRenamed("news_id", "id")
 
 
-def newsgroup_vectors(spark: SparkSession, d: str, prefix: str = "lab.", features: int = 400) -> DataFrame:
+def newsgroup_vectors(spark: SparkSession, d: str, prefix: str = "lab.", **features) -> DataFrame:
     """Documents as posts: the category's first part is the class."""
     rows = read(spark, d, "documents").where("category is not null").select("doc_id", "text", F.col("category").startswith(prefix).cast("int").alias("y"))
-    values, ranked = textfeatures.text_features(rows, "doc_id", F.col("text"), F.col("y"), features=features)
+    values, ranked = textfeatures.text_features(rows, "doc_id", F.col("text"), F.col("y"), **features)
     dense = textfeatures.dense_vectors(values, "doc_id", ranked, rows)
     return dense.join(rows.select("doc_id", "y"), "doc_id").withColumnRenamed("doc_id", "id")

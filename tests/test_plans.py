@@ -1,5 +1,9 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from spanweave.operators import classify, splits
 from spanweave.plans import catalog, experiment
 from spanweave.streaming.score import score_stream
 
@@ -31,6 +35,55 @@ def test_pipeline_and_reports(spark):
         experiment.get_experiment("iris")
 
 
+def test_many_graphs_as_one(spark):
+    """Every graph of a grid gets the labels that it gets alone, and every search for k the same k."""
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(2.0 * (i % 2), 1.0), rng.gauss(0.0, 1.0), rng.gauss(1.0 * (i % 2), 1.5)], i % 2) for i in range(60)], "id long, features array<double>, y int")
+    split = splits.stratified_splits(rows, "id", "y", 0.6, 2)
+    parts = {f: experiment.hide_labels(rows, split.where(F.col("fold") == f)) for f in (0, 1)}
+    every = parts[0].withColumn("run", F.lit(0).cast("long")).unionByName(parts[1].withColumn("run", F.lit(1).cast("long")))
+    configs = [experiment.Config("mincut", "euclidean", "knn"), experiment.Config("mincut_randomize", "cosine", "knn_mst"), experiment.Config("graphical_tree", "gaussian", "mst"), experiment.Config("graphical_loop", "euclidean", "knn")]
+    base = experiment.similarities(every, ["cosine", "euclidean", "gaussian"], 3)
+    wanted = spark.createDataFrame([(2 * n + f, f, c.model, c.metric, c.graph_type, 2 + f) for n, c in enumerate(configs) for f in (0, 1)], "graph long, run long, model string, metric string, graph_type string, k int")
+    together = {(r["graph"], r["id"]): r["predicted"] for r in experiment.label_graphs(base, wanted).collect()}
+    for n, c in enumerate(configs):
+        for f in (0, 1):
+            alone = experiment.Pipeline().set_params(trans__graph_type=c.graph_type, trans__metric=c.metric, infer__model_type=c.model).fit(parts[f].select("id", "features", "label"), 2 + f).predict()
+            assert {r["id"]: r["predicted"] for r in alone.collect()} == {i: v for (g, i), v in together.items() if g == 2 * n + f}, (c, f)
+    labelled = every.where("label >= 0").select("run", "id", "features", "y")
+    chosen = {(r["run"], r["model"]): r["k"] for r in experiment.search_runs(labelled, configs[:1], range(1, 4)).collect()}
+    for f in (0, 1):
+        assert chosen[f, "mincut"] == experiment.search_k(labelled.where(F.col("run") == f).drop("run"), ks=range(1, 4))[0]
+
+
+def test_main(spark, data, tmp_path):
+    settings = {"folds": 1, "configs": [experiment.Config("mincut", "euclidean", "mst")], "supervised": ("logistic",)}
+    experiment.main(spark, data, str(tmp_path), "digit", **settings)
+    text = (tmp_path / "transductive.txt").read_text()
+    assert "mincut/euclidean/mst" in text and "logistic" in text and "weighted avg" in text and "mst+logistic" in (tmp_path / "inductive.txt").read_text()
+    assert (tmp_path / "experiment.log").exists()
+
+
+def test_parameter_sets(spark, data):
+    assert len(experiment.PARAMETERS) == 8 and {n for n, _ in experiment.PARAMETERS.values()} == set(experiment.EXPERIMENTS)
+    assert experiment.get_experiment("newsgroups", "newsgroups2")(spark, data).where("y = 1").count() > 0
+    for name in ("reuters", "nothing"):
+        with pytest.raises(KeyError):
+            experiment.get_experiment("newsgroups", name)
+
+
+def test_large_fits_by_passes(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, [rng.gauss(3.0 * (i % 2), 1.0), rng.gauss(0.0, 1.0)], i % 2) for i in range(80)] + [(100 + i, [0.0, 1.0], 1) for i in range(3)], "id long, features array<double>, y int")
+    train, test = rows.where("id < 60"), rows.where("id >= 60")
+    for name, fit in classify.SUPERVISED.items():
+        a, b = ({r["id"]: r["predicted"] for r in fit(train, test, "id", most).collect()} for most in (1000, 5))
+        assert a == b and sum(a[i] == i % 2 for i in range(60, 80)) >= 15, name
+        one = fit(rows.where("id >= 100"), test, "id").collect()
+        assert {r["predicted"] for r in one} == {1}
+        assert {r["predicted"] for r in fit(train.limit(0), test, "id").collect()} == {0}
+
+
 def test_datasets(spark, data):
     for name in experiment.EXPERIMENTS:
         df = experiment.get_experiment(name)(spark, data)
