@@ -3,11 +3,15 @@
 Each record gives a row (term, record, n) for each of its terms, n being its count there. The rows are range-partitioned and sorted by term and
 record, so a term that a third of the corpus holds is spread over as many partitions as its rows fill, none of which must fit in
 memory. A scan over each sorted partition counts runs; a term's partial counts are added up at the end, one row per term and partition.
+
+The ranges' borders are quantiles of a bounded sample of the rows, so that texts are cut into words once; borders only decide where a row is sorted.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,8 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.session import parallelism
+
 _RUN = re.compile(r"[^\W_]+")
 _TEXTS = 2_000
+#: Records (those with the smallest id hashes) and rows of theirs that borders are taken from; rows of a range, about; terms whose range a worker remembers.
+SAMPLE_RECORDS, SAMPLE_ROWS, RANGE_ROWS, _MEMO = 2_000, 20_000, 4_000_000, 500_000
 
 
 def record_words(text: str) -> list[str]:
@@ -29,18 +37,58 @@ def record_words(text: str) -> list[str]:
     return [w.lower() for w in _RUN.findall(text)]
 
 
-def _record_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(record, text) -> (term, record, n)."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, _TEXTS):
-            part = batch.slice(k, _TEXTS)
-            terms, counts, sizes = [], [], []
-            for text in part.column(1).to_pylist():
-                c = Counter(record_words(text)) if text else {}
-                terms.extend(c.keys())
-                counts.extend(c.values())
-                sizes.append(len(c))
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(counts, pa.int32())], names=["term", "record", "n"])
+class _Ranges(dict):
+    """Term -> number of its range; None for a term that borders cut, whose range depends on the record."""
+
+    def __init__(self, borders: list[tuple[str, int]]):
+        super().__init__()
+        self.borders, self.cut = borders, {t for t, _ in borders}
+
+    def __missing__(self, term: str) -> int | None:
+        if len(self) >= _MEMO:
+            self.clear()
+        found = self[term] = None if term in self.cut else bisect_right(self.borders, (term, 0))
+        return found
+
+    def of(self, term: str, record: int) -> int:
+        return bisect_right(self.borders, (term, record))
+
+
+def _record_terms(borders: list[tuple[str, int]]):
+    """(record, text) -> (part, term, record, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = _Ranges(borders)
+        for batch in batches:
+            for k in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(k, _TEXTS)
+                terms, counts, sizes, parts = [], [], [], []
+                for record, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    c = Counter(record_words(text)) if text else {}
+                    at = list(map(ranges.__getitem__, c))
+                    if None in at:
+                        at = [ranges.of(t, record) if p is None else p for t, p in zip(c, at, strict=True)]
+                    parts += at
+                    terms.extend(c.keys())
+                    counts.extend(c.values())
+                    sizes.append(len(c))
+                cols = [pa.array(parts, pa.int32()), pa.array(terms, pa.string()), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(counts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "term", "record", "n"])
+
+    return run
+
+
+_ROWS = "part int, term string, record long, n int"
+
+
+def _borders(rows: DataFrame, records: int) -> list[tuple[str, int]]:
+    """Borders of as many ranges as the rows fill."""
+    sample = rows.orderBy(F.xxhash64("record"), "record").limit(SAMPLE_RECORDS).mapInArrow(_record_terms([]), _ROWS)
+    sample = sample.select(F.substring("term", 1, 100).alias("term"), "record")
+    n, held = sample.agg(F.count(F.lit(1)), F.countDistinct("record")).first()
+    ranges = max(parallelism(rows.sparkSession), math.ceil(n / max(held, 1) * records / RANGE_ROWS))
+    kept = sorted((r["term"], r["record"]) for r in sample.orderBy(F.xxhash64("term", "record")).limit(SAMPLE_ROWS).collect())
+    return sorted({kept[len(kept) * k // ranges] for k in range(1, ranges)}) if kept else []
 
 
 def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +113,8 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([term.take(pa.array(starts)), pa.array(occurrences), pa.array(np.add.reduceat(new_record.astype(np.int64), starts))], names=["term", "occurrences", "records"])
 
 
-def _count(pairs: DataFrame) -> DataFrame:
-    ordered = pairs.repartitionByRange("term", "record").sortWithinPartitions(F.col("term"), F.col("record"), F.desc("n"))
+def _count(ranges: DataFrame) -> DataFrame:
+    ordered = ranges.select("term", "record", "n").sortWithinPartitions(F.col("term"), F.col("record"), F.desc("n"))
     partial = ordered.mapInArrow(_scan_runs, "term string, occurrences long, records long")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
@@ -79,7 +127,8 @@ def term_frequencies(df: DataFrame, id_col: str, text: Column, rare_below: int =
     """
     rows = df.select(F.col(id_col).cast("long").alias("record"), text.cast("string").alias("text")).where("record is not null")
     total = df.select(F.col(id_col).cast("long").alias("r")).where("r is not null").distinct().count()
-    counted = _count(rows.mapInArrow(_record_terms, "term string, record long, n int"))
+    borders = _borders(rows, total)
+    counted = _count(rows.mapInArrow(_record_terms(borders), _ROWS).repartitionById(len(borders) + 1, "part"))
     kind = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * total, "common").otherwise("useful")
     return counted.withColumn("kind", kind)
 
@@ -94,7 +143,7 @@ def value_frequencies(df: DataFrame, id_col: str, columns: list[str], rare_below
     total = ids.distinct().count()
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     rows = df.select(F.col(id_col).cast("long").alias("record"), F.explode(pairs).alias("p")).where("record is not null and p.value is not null")
-    counted = _count(rows.select(F.concat_ws("\x1f", "p.field", "p.value").alias("term"), "record", F.lit(1).alias("n")))
+    counted = _count(rows.select(F.concat_ws("\x1f", "p.field", "p.value").alias("term"), "record", F.lit(1).alias("n")).repartitionByRange("term", "record"))
     kind = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * total, "common").otherwise("useful")
     parts = F.split("term", "\x1f", 2)
     return counted.select(parts[0].alias("field"), parts[1].alias("value"), "occurrences", "records", kind.alias("kind"))

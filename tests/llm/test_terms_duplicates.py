@@ -40,6 +40,17 @@ def test_terms_against_a_counter(spark):
     assert got == {t: (occurrences[t], records[t]) for t in occurrences}
 
 
+def test_borders_cut_a_hot_term(spark, monkeypatch):
+    """Ranges of few rows: a word of all records lies in many of them, and every row is counted once."""
+    monkeypatch.setattr(T, "RANGE_ROWS", 100)
+    rows = [(i, f"hot w{i % 7} x{i}") for i in range(600)]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], "news_id long, title string, body string")
+    borders = T._borders(df.select(F.col("news_id").alias("record"), F.col("title").alias("text")), 600)
+    assert len(borders) >= 12 and sum(t == "hot" for t, _ in borders) >= 3
+    got = {r["term"]: r["records"] for r in T.term_frequencies(df, "news_id", story()).collect()}
+    assert got["hot"] == 600 and got["w3"] == 86 and got["x5"] == 1 and len(got) == 608
+
+
 def test_values(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "a", None), (3, None, 2)], "id long, x string, y int")
     got = {(r["field"], r["value"]): (r["occurrences"], r["records"]) for r in T.value_frequencies(df, "id", ["x", "y"]).collect()}
