@@ -12,8 +12,9 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from spanweave.session import parallelism
 
 _RUN = re.compile(r"[^\W_]+")
-_TEXTS = 2_000
+_BLOCK_CHARS = 4_000_000
 #: Records (those with the smallest id hashes) and rows of theirs that borders are taken from; rows of a range, about; terms whose range a worker remembers.
 SAMPLE_RECORDS, SAMPLE_ROWS, RANGE_ROWS, _MEMO = 2_000, 20_000, 4_000_000, 500_000
 
@@ -54,26 +55,44 @@ class _Ranges(dict):
         return bisect_right(self.borders, (term, record))
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[list[tuple[int, str]]]:
+    """(record, text) by record, in blocks of bounded size."""
+    held, size = [], 0
+    for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if text:
+            held.append((record, text))
+            size += len(text)
+            if size > _BLOCK_CHARS:
+                yield sorted(held)
+                held, size = [], 0
+    if held:
+        yield sorted(held)
+
+
 def _record_terms(borders: list[tuple[str, int]]):
-    """(record, text) -> (part, term, record, n)."""
+    """(record, text) -> (part, term, record, n), block by block in order of term and record: runs that the sort has only to merge."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = _Ranges(borders)
         for batch in batches:
-            for k in range(0, batch.num_rows, _TEXTS):
-                part = batch.slice(k, _TEXTS)
-                terms, counts, sizes, parts = [], [], [], []
-                for record, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    c = Counter(record_words(text)) if text else {}
-                    at = list(map(ranges.__getitem__, c))
-                    if None in at:
-                        at = [ranges.of(t, record) if p is None else p for t, p in zip(c, at, strict=True)]
-                    parts += at
-                    terms.extend(c.keys())
-                    counts.extend(c.values())
-                    sizes.append(len(c))
-                cols = [pa.array(parts, pa.int32()), pa.array(terms, pa.string()), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(counts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["part", "term", "record", "n"])
+            for block in _blocks(batch):
+                records, counts = defaultdict(list), defaultdict(list)
+                for record, text in block:
+                    for term, n in Counter(record_words(text)).items():
+                        records[term].append(record)
+                        counts[term].append(n)
+                terms = sorted(records)
+                sizes = np.array([len(records[t]) for t in terms], np.int64)
+                at = [ranges[t] for t in terms]
+                part = np.repeat(np.array([-1 if p is None else p for p in at], np.int32), sizes)
+                record = np.fromiter(chain.from_iterable(records[t] for t in terms), np.int64, sizes.sum())
+                start = 0
+                for t, p, n in zip(terms, at, sizes.tolist(), strict=True):
+                    if p is None:
+                        part[start : start + n] = [ranges.of(t, r) for r in records[t]]
+                    start += n
+                n = np.fromiter(chain.from_iterable(counts[t] for t in terms), np.int32, len(record))
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(terms, pa.string()).take(pa.array(np.repeat(np.arange(len(terms)), sizes))), pa.array(record), pa.array(n)], names=["part", "term", "record", "n"])
 
     return run
 
