@@ -39,8 +39,9 @@ def canonical_code(column: str, codes: dict[str, str]) -> Column:
     if not codes:
         return F.lit(None).cast("string")
     table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
-    clean = F.lower(F.regexp_replace(F.col(f"`{column}`").cast("string"), r"^\s+|\s+$", ""))
-    return F.try_element_at(table, clean)
+    raw = F.col(f"`{column}`").cast("string")
+    # most values are clean, and a clean one is found as it is
+    return F.coalesce(F.try_element_at(table, raw), F.try_element_at(table, F.lower(F.regexp_replace(raw, r"^\s+|\s+$", ""))))
 
 
 def code_tables(codes: DataFrame) -> dict[str, dict[str, str]]:
