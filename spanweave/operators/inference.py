@@ -461,6 +461,31 @@ def cut_value(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").agg(F.coalesce(F.sum(F.when(F.col("x") != F.col("y"), F.col("weight"))), F.lit(0.0)).alias("value"))
 
 
+def flow_value(graph: Graph) -> DataFrame:
+    """``(flow)``: the largest flow between the two terminals, found apart from any cut; components must fit in a task each."""
+    lab = graph.vertices.select("vid", "label")
+    ends = graph.edges.join(lab.select(F.col("vid").alias("src"), F.col("label").alias("ls")), "src").join(lab.select(F.col("vid").alias("dst"), F.col("label").alias("ld")), "dst")
+    direct = ends.where("ls >= 0 and ld >= 0 and ls <> ld").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("flow"))
+    inner = ends.where("ls < 0 and ld < 0").select("src", "dst", "weight")
+    comp = connected_components(inner.select("src", "dst")).withColumnRenamed("node", "src")
+    caps = terminal_capacities(graph.vertices, graph.edges).withColumnRenamed("vid", "src")
+    rows = caps.join(comp, "src", "left").select(F.coalesce("component", "src").alias("component"), "src", F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("weight"), "c_pos", "c_neg")
+    links = inner.join(comp, "src").select("component", "src", "dst", "weight", F.lit(0.0).alias("c_pos"), F.lit(0.0).alias("c_neg"))
+    parts = materialize(rows.unionByName(links))
+    most = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > 2 * KERNEL_EDGES:
+        raise ValueError(f"a component of {most} rows is too large for one task")
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, e = pdf[pdf["dst"].isna()].sort_values("src"), pdf[pdf["dst"].notna()]
+        vid = v["src"].to_numpy().astype(np.int64)
+        a, b = (np.searchsorted(vid, e[c].to_numpy().astype(np.int64)).tolist() for c in ("src", "dst"))
+        return pd.DataFrame({"flow": [max_flow_side(len(vid), v["c_pos"].to_numpy(), v["c_neg"].to_numpy(), list(zip(a, b, e["weight"].tolist(), strict=True)))[1]]})
+
+    flows = _packed(parts, "component").groupBy("pack").applyInPandas(kernel, "flow double")
+    return flows.union(direct).agg(F.sum("flow").alias("flow"))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the joined parts: the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -13,7 +13,7 @@ from spanweave.operators.components import connected_components
 from spanweave.operators.graph import Graph
 from spanweave.plans import experiment
 from spanweave.session import materialize
-from spanweave.sources import corpora, reports, tables, tabular
+from spanweave.sources import corpora, files, reports, tables, tabular
 
 K, ROUNDS = 3, 10
 UNLABELLED = 0.7
@@ -393,19 +393,49 @@ def flood_labels(spark, d):
     return nodes.select("vid", "id").join(inference.unlabelled_predictions(g, labels), "vid").join(_emb(spark, d).select("id", "y"), "id").select("vid", "id", "y", "predicted")
 
 
-@query()
+def _tree_sql(source: str) -> str:
+    """Labels and messages of the forest ``source``, level by level: components, breadth-first down, messages up, labels down."""
+    far = "4 * v.w"
+    n_neg, n_pos = "coalesce(i.neg, 0)", "coalesce(i.pos, 0)"
+
+    def choose(a: str, b: str) -> str:
+        return f"CASE WHEN v.label >= 0 THEN v.label WHEN {a} = {b} THEN v.influence WHEN {b} > {a} THEN 1 ELSE 0 END"
+
+    sent = f"""SELECT vid, component, parent, depth, label, CASE WHEN t_neg = 0 THEN n_neg ELSE n_pos - 4 * w END AS m_neg, CASE WHEN t_pos = 0 THEN n_neg - 4 * w ELSE n_pos END AS m_pos, t_neg, t_pos FROM (
+SELECT v.*, {n_neg} AS n_neg, {n_pos} AS n_pos, {choose(n_neg, f"{n_pos} - {far}")} AS t_neg, {choose(f"{n_neg} - {far}", n_pos)} AS t_pos FROM bfs v LEFT JOIN {{inner}} i ON i.parent = v.vid WHERE v.depth = {{depth}}) x"""
+    return f"""ways AS MATERIALIZED (SELECT src AS a, dst AS b, weight AS w FROM {source} UNION ALL SELECT dst, src, weight FROM {source}),
+cc(vid, c) USING KEY (vid) AS (SELECT vid, vid FROM nodes UNION (SELECT e.b, min(cc.c) FROM cc JOIN ways e ON e.a = cc.vid JOIN recurring.cc AS r ON r.vid = e.b WHERE cc.c < r.c GROUP BY e.b)),
+down(vid, component, parent, w, depth) AS (SELECT vid, c, vid, 0.0::DOUBLE, 0 FROM cc WHERE vid = c UNION ALL SELECT e.b, d.component, d.vid, e.w, d.depth + 1 FROM down d JOIN ways e ON e.a = d.vid WHERE e.b <> d.parent),
+bfs AS MATERIALIZED (SELECT d.*, n.label, i.influence FROM down d JOIN nodes n USING (vid) JOIN influence i USING (vid)),
+up AS ({sent.format(inner="(SELECT NULL::BIGINT AS parent, 0.0::DOUBLE AS neg, 0.0::DOUBLE AS pos)", depth="(SELECT max(depth) FROM bfs)")}
+UNION ALL {sent.format(inner="(SELECT parent, sum(m_neg) AS neg, sum(m_pos) AS pos FROM up GROUP BY parent)", depth="(SELECT min(depth) FROM up) - 1")}),
+told(vid, depth, label) AS (SELECT vid, depth, CASE WHEN label >= 0 THEN label ELSE t_neg END FROM up WHERE depth = 0
+UNION ALL SELECT u.vid, u.depth, CASE WHEN u.label >= 0 THEN u.label WHEN t.label = 0 THEN u.t_neg ELSE u.t_pos END FROM told t JOIN up u ON u.parent = t.vid AND u.depth = t.depth + 1)"""
+
+
+_WHOLE = f"{BASE}, {_pairs_sql()}, {INFLUENCE}, full_edges AS (SELECT u AS src, v AS dst, w AS weight FROM w WHERE u < v AND w > 0), {_boruvka_sql('full_edges')}"
+
+
+@query(f"{_WHOLE}, {_tree_sql('forest')} SELECT vid, component, parent, u.depth, round(m_neg, 6) AS m_neg, round(m_pos, 6) AS m_pos, t_neg, t_pos, CAST(t.label AS INTEGER) AS label FROM up u JOIN told t USING (vid)")
+def tree_messages(spark, d):
+    _, g = _built(spark, d, "mst")
+    return inference.tree_inference(g).select("vid", "component", "parent", "depth", _r("m_neg"), _r("m_pos"), "t_neg", "t_pos", "label")
+
+
+@query(f"{_WHOLE}, {_tree_sql('forest')} SELECT vid, CAST(label AS INTEGER) AS label FROM told")
 def flood_faithful_labels(spark, d):
+    """The loop model with all its rounds; on a tree it is exact, so the tree's labels are its own."""
     _, g = _built(spark, d, "mst")
     return inference.infer(g, "graphical_loop")
 
 
 @query()
-def tree_messages(spark, d):
-    _, g = _built(spark, d, "mst")
-    return inference.tree_inference(g)
+def flood_loop_labels(spark, d):
+    """The same on a graph with cycles."""
+    return inference.infer(_built(spark, d)[1], "graphical_loop")
 
 
-@query()
+@query(f"{BASE}, {_pairs_sql()}, {INFLUENCE}, {KNN}, {_boruvka_sql('knn')}, {_tree_sql('forest')} SELECT vid, CAST(label AS INTEGER) AS label FROM told")
 def tree_labels(spark, d):
     _, g = _built(spark, d, "knn_mst")
     return inference.infer(g, "graphical_tree")
@@ -430,6 +460,20 @@ def mincut_value(spark, d):
     return inference.cut_value(g.edges, inference.mincut_labels(g)).select(_r("value"))
 
 
+@query(f"{BASE} SELECT count(*) FILTER (label >= 0) AS labelled_kept, 0::BIGINT AS improvable, true AS cut_is_flow FROM nodes")
+def mincut_checks(spark, d):
+    """A minimum cut keeps the labelled vertices, no single other vertex improves it, and its value is that of the largest flow."""
+    _, g = _built(spark, d)
+    labels = materialize(inference.mincut_labels(g))
+    known = g.vertices.where("label >= 0").select("vid", F.col("label").alias("was"))
+    kept = labels.join(known, "vid").where("was = label").agg(F.count(F.lit(1)).alias("labelled_kept"))
+    at = graph.both_directions(g.edges).join(labels.select(F.col("vid").alias("src"), F.col("label").alias("x")), "src").join(labels.select(F.col("vid").alias("dst"), F.col("label").alias("y")), "dst")
+    flip = at.groupBy("src").agg(F.sum(F.when(F.col("x") == F.col("y"), F.col("weight")).otherwise(-F.col("weight"))).alias("gain"))
+    worse = flip.join(known.withColumnRenamed("vid", "src"), "src", "left_anti").where("gain < -1e-9").agg(F.count(F.lit(1)).alias("improvable"))
+    values = inference.cut_value(g.edges, labels).crossJoin(inference.flow_value(g))  # a row each
+    return kept.crossJoin(worse).crossJoin(values.select((F.abs(F.col("value") - F.col("flow")) < 1e-6).alias("cut_is_flow")))
+
+
 _U = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"
 
 
@@ -519,6 +563,69 @@ def tfidf_l2_normalize(spark, d):
     return textfeatures.tfidf(_tf(spark, d), "news_id", _stories(spark, d).count()).select("news_id", "term", _r("value"))
 
 
+@query(_TFIDF.replace("idf AS (SELECT term,", "idf_all AS (SELECT term,", 1).replace(", v AS (SELECT news_id, term, n * idf AS v FROM tf JOIN idf USING (term))", """, top AS (SELECT term FROM (SELECT term, round(sum(value), 12) AS score FROM (
+  SELECT news_id, term, n * idf / sqrt(sum(n * idf * n * idf) OVER (PARTITION BY news_id)) AS value FROM tf JOIN idf_all USING (term)) GROUP BY term) ORDER BY score DESC, term LIMIT 400),
+  idf AS (SELECT * FROM idf_all), v AS (SELECT news_id, term, n * idf AS v FROM tf JOIN idf USING (term) WHERE term IN (SELECT term FROM top))""") + " SELECT news_id, term, round(value, 6) AS value FROM tfidf")
+def tfidf_selected_terms(spark, d):
+    """Text features as the experiments use them: the 400 best terms only, each document of length 1 over these."""
+    rows = _stories(spark, d)
+    values, _ = textfeatures.text_features(rows, "news_id", F.col("text"), F.col("y"), scorer="tfidf", features=400, normalizer="tfidf", alphabet="ascii")
+    return values.select("news_id", "term", _r("value"))
+
+
+@query(_TF + ", voc AS (SELECT DISTINCT lower(meaning) AS term FROM mushroom_codes) SELECT news_id, term, count(*) AS n FROM tok WHERE term IN (SELECT term FROM voc) GROUP BY ALL")
+def vocabulary_counts(spark, d):
+    """A vocabulary file, one word a line, as the table that tokens are joined to."""
+    words = tables.read(spark, d, "mushroom_codes").select(F.lower("meaning").alias("term")).distinct()
+    path = files.lines(words.orderBy("term").coalesce(1), "vocabulary")  # a code list, of fixed size
+    return textfeatures.term_counts(_stories(spark, d), "news_id", F.col("text"), vocabulary=corpora.read_vocabulary(spark, path), alphabet="ascii")
+
+
+@query(_DOCS + r" SELECT news_id, term, count(*) AS n FROM (SELECT news_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}')) AS term FROM story) GROUP BY ALL")
+def tokenize_unicode(spark, d):
+    return textfeatures.term_counts(_stories(spark, d), "news_id", F.col("text"))
+
+
+# --- files -----------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT CASE WHEN sex IN ('M', 'F', 'I') THEN sex END AS sex, " + ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in tables.ABALONE_MEASURES) + ", rings FROM abalone")
+def abalone_file(spark, d):
+    """The table as a headerless file, read by the file's source."""
+    rows = tables.read(spark, d, "abalone").select(F.when(F.col("sex").isin("M", "F", "I"), F.col("sex")).alias("sex"), *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in tables.ABALONE_MEASURES], "rings").distinct()
+    read = tabular.read_abalone(spark, files.csv(rows, "abalone"))
+    return read.toDF("sex", *tables.ABALONE_MEASURES, "rings")
+
+
+_MC = ["class_code", *[c.replace("-", "_").replace("?", "") for c in tabular.MUSHROOM[1:]]]
+
+
+@query("SELECT mushroom_id, " + ", ".join(rf"nullif(regexp_replace(lower({c}), '^\s+|\s+$', '', 'g'), '') AS {c}" for c in ("class_code", "odor", "cap_shape")) + ", y FROM (SELECT DISTINCT mushroom_id, class_code, odor, cap_shape, CASE lower(trim(class_code)) WHEN 'p' THEN 0 WHEN 'e' THEN 1 END::INTEGER AS y FROM mushroom)")
+def mushroom_file(spark, d):
+    """Categories as a headerless file; the id travels in the place of the last one."""
+    rows = tables.read(spark, d, "mushroom").select(*[F.nullif(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit("")).alias(c) for c in _MC[:-1]], F.col("mushroom_id").cast("string").alias("id")).distinct()
+    read = tabular.read_mushroom(spark, files.csv(rows, "mushroom"))
+    y = tabular.map_values(F.col("class"), tabular.CLASS_CODES)
+    return read.select(F.col(tabular.MUSHROOM[-1]).cast("long").alias("mushroom_id"), F.col("class").alias("class_code"), "odor", F.col("cap-shape").alias("cap_shape"), y.alias("y"))
+
+
+@query("SELECT DISTINCT " + ", ".join(f"{c}" for c in tables.COEFFICIENTS) + ", nullif(trim(family), '') AS family, recordid FROM anuran_calls")
+def anuran_file(spark, d):
+    """Coefficients as a file with a header."""
+    rows = tables.read(spark, d, "anuran_calls").select(*tables.COEFFICIENTS, F.nullif(F.trim("family"), F.lit("")).alias("family"), F.lit("g").alias("genus"), F.lit("s").alias("species"), "recordid").distinct()
+    read = tabular.read_anuran(spark, files.csv(rows, "anuran", header=True))
+    return read.toDF(*tables.COEFFICIENTS, "family", "genus", "species", "recordid").drop("genus", "species")
+
+
+@query(r"""SELECT news_id, count(*) AS documents, any_value(coalesce(title, '')) AS title FROM (SELECT DISTINCT news_id, regexp_replace(title, '[^\x{20}-\x{7e}]', '?', 'g') AS title FROM reuters) GROUP BY news_id""")
+def sgml_files(spark, d):
+    """Stories in SGML files, read from a folder in Latin-1; the id is a topic of its own."""
+    rows = tables.read(spark, d, "reuters").select("news_id", F.regexp_replace("title", r"[^\x20-\x7e]", "?").alias("title")).dropDuplicates(["news_id"])
+    story = corpora.render_sgml(F.col("title"), F.lit("text"), F.array(F.col("news_id").cast("string")))
+    read = corpora.read_sgml(spark, files.lines(rows.select(story.alias("value")), "news"), "*.txt")
+    return read.groupBy(F.col("topics")[0].cast("long").alias("news_id")).agg(F.count(F.lit(1)).alias("documents"), F.first("title").alias("title"))
+
+
 # --- evaluation and experiments --------------------------------------------------------------------------------------------------------
 
 
@@ -531,12 +638,15 @@ def _predicted(spark, d):
 _PREDICTED = f"{BASE}, {_pairs_sql()}, {INFLUENCE}, pred AS (SELECT id, y, influence AS predicted FROM nodes JOIN influence USING (vid) WHERE label < 0)"
 
 
-@query(_PREDICTED + """, c AS (SELECT y AS k, count(*) FILTER (y = predicted)::DOUBLE AS tp, (SELECT count(*) FROM pred q WHERE q.predicted = p.y)::DOUBLE AS pp, count(*)::DOUBLE AS s FROM pred p GROUP BY y),
+_BUCKETS = """, c AS (SELECT y AS k, count(*) FILTER (y = predicted)::DOUBLE AS tp, (SELECT count(*) FROM pred q WHERE q.predicted = p.y)::DOUBLE AS pp, count(*)::DOUBLE AS s FROM pred p GROUP BY y),
 r AS (SELECT CAST(k AS VARCHAR) AS bucket, coalesce(tp / nullif(pp, 0), 0) AS p, coalesce(tp / nullif(s, 0), 0) AS r, s, tp FROM c),
 f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM r),
 a AS (SELECT bucket, p, r, f, s FROM f UNION ALL SELECT 'micro avg', sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s), sum(s) FROM f
 UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(s) FROM f UNION ALL SELECT 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM f)
-SELECT bucket, metric, round(value, 6) AS value FROM (SELECT bucket, unnest(['precision', 'recall', 'f1-score', 'support']) AS metric, unnest([p, r, f, s]) AS value FROM a)""")
+"""
+
+
+@query(_PREDICTED + _BUCKETS + "SELECT bucket, metric, round(value, 6) AS value FROM (SELECT bucket, unnest(['precision', 'recall', 'f1-score', 'support']) AS metric, unnest([p, r, f, s]) AS value FROM a)")
 def classification_report(spark, d):
     return evaluate.classification_report(_predicted(spark, d)).select("bucket", "metric", _r("value"))
 
@@ -546,7 +656,19 @@ def accuracy(spark, d):
     return evaluate.accuracy(_predicted(spark, d)).select(_r("accuracy"))
 
 
-@query()
+_FOLDS = f"""WITH {EMB}, h AS (SELECT CAST(fold AS INTEGER) AS fold, id, x, y, md5('0:' || fold || ':' || id) AS h FROM emb CROSS JOIN (SELECT unnest(range(5)) AS fold)),
+s AS MATERIALIZED (SELECT fold, id, x, y, row_number() OVER (PARTITION BY fold, y ORDER BY h, id) <= round(CAST(0.7 AS DOUBLE) * count(*) OVER (PARTITION BY fold, y)) AS hidden FROM h),
+pred AS (SELECT a.fold, a.id, any_value(a.y) AS y, CAST(round(sum(CASE WHEN b.y = 1 THEN w ELSE 0 END), 9) > round(sum(CASE WHEN b.y = 0 THEN w ELSE 0 END), 9) AS INTEGER) AS predicted
+  FROM (SELECT a.fold, a.id, a.y, b.y AS by, {METRIC_SQL["euclidean"]} AS w FROM s a JOIN s b ON a.fold = b.fold AND a.hidden AND NOT b.hidden) q, LATERAL (SELECT q.by AS y) b, LATERAL (SELECT q.y AS y, q.fold AS fold, q.id AS id) a GROUP BY a.fold, a.id),
+c AS (SELECT fold, k, count(*) FILTER (y = k AND predicted = k)::DOUBLE AS tp, count(*) FILTER (predicted = k)::DOUBLE AS pp, count(*) FILTER (y = k)::DOUBLE AS s FROM pred CROSS JOIN (SELECT unnest([0, 1]) AS k) GROUP BY ALL),
+r AS (SELECT fold, CAST(k AS VARCHAR) AS bucket, coalesce(tp / nullif(pp, 0), 0) AS p, coalesce(tp / nullif(s, 0), 0) AS r, s, tp FROM c),
+f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM r),
+a AS (SELECT fold, bucket, p, r, f, s FROM f UNION ALL SELECT fold, 'micro avg', sum(tp) / sum(s), sum(tp) / sum(s), sum(tp) / sum(s), sum(s) FROM f GROUP BY fold
+UNION ALL SELECT fold, 'macro avg', avg(p), avg(r), avg(f), sum(s) FROM f GROUP BY fold UNION ALL SELECT fold, 'weighted avg', sum(p * s) / sum(s), sum(r * s) / sum(s), sum(f * s) / sum(s), sum(s) FROM f GROUP BY fold)
+SELECT bucket, metric, round(sum(value) / 5, 6) AS value FROM (SELECT bucket, unnest(['precision', 'recall', 'f1-score', 'support']) AS metric, unnest([p, r, f, s]) AS value FROM a) GROUP BY ALL"""
+
+
+@query(_FOLDS)
 def report_average(spark, d):
     rows = materialize(_emb(spark, d))
     every = materialize(splits.stratified_splits(rows, "id", "y", UNLABELLED, 5))
@@ -560,7 +682,8 @@ def report_average(spark, d):
     return evaluate.accumulate_reports(report, [], 5.0).select("bucket", "metric", _r("value"))
 
 
-@query()
+@query(_PREDICTED + _BUCKETS + """SELECT CAST(list_position(['0', '1', 'micro avg', 'macro avg', 'weighted avg'], bucket) - 1 AS INTEGER) AS position,
+format('{:>15}{:10.2f}{:10.2f}{:10.2f}{:10.2f}', bucket, round(p, 2), round(r, 2), round(f, 2), round(s, 2)) AS line FROM a""")
 def report_text(spark, d):
     return reports.report_lines(evaluate.classification_report(_predicted(spark, d)))
 

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -39,6 +40,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors share."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage in reliable storage, so that a lost executor costs no rerun."""
     _ensure_checkpoint_dir(df.sparkSession)

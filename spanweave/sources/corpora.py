@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.operators.ranking import with_global_rank
 from spanweave.operators.textfeatures import strip_post
 from spanweave.sources.tabular import in_labels
 
@@ -43,9 +44,9 @@ def render_sgml(title: Column, body: Column, topics: Column) -> Column:
     return F.concat(F.lit("<REUTERS><TOPICS>"), listed, F.lit("</TOPICS><TEXT><TITLE>"), escape(title), F.lit("</TITLE><BODY>"), escape(body), F.lit("</BODY></TEXT></REUTERS>"))
 
 
-def read_sgml(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of all ``*.sgm`` files of a folder, in Latin-1."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sgm").load(folder)
+def read_sgml(spark: SparkSession, folder: str, pattern: str = "*.sgm") -> DataFrame:
+    """The documents of all files of a folder that match, in Latin-1; a file is one row, so it must fit in memory."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return parse_sgml(files.select("path", F.decode("content", "ISO-8859-1").alias("content")))
 
 
@@ -69,6 +70,11 @@ def read_newsgroups(spark: SparkSession, folder: str, subset: str = "*") -> Data
     return files.select("path", F.element_at(parts, -2).alias("category"), F.regexp_replace(F.element_at(parts, -3), "(?i)^.*(train|test)$", "$1").alias("subset"), strip_post(F.col("raw")).alias("text"))
 
 
+def seeded_order(df: DataFrame, key: str = "path", seed: int = 0) -> DataFrame:
+    """Add ``position``: posts of all subsets (or of those of training) in one order that a seed gives, the same in any engine."""
+    return with_global_rank(df, "position", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key))
+
+
 def label_categories(df: DataFrame, categories: Iterable[str] | None, positive: Iterable[str], category: str = "category") -> DataFrame:
     """Keep the named categories and add ``y``: 1 for the positive ones."""
     kept = df if categories is None else df.where(F.col(category).isin(list(categories)))

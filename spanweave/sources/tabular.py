@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,14 @@ def parity(c: Column) -> Column:
     return (c % 2).cast("int")
 
 
-def _csv(spark: SparkSession, source, names: tuple[str, ...], kinds: dict[str, T.DataType], header: bool) -> DataFrame:
-    """Read from a path or from an iterable of lines (an open stream)."""
+def _csv(spark: SparkSession, source, names: tuple[str, ...], kinds: dict[str, T.DataType], header: bool, max_rows: int | None = None) -> DataFrame:
+    """Read from a path or from an iterable of lines (an open stream); with ``max_rows`` no more rows than that."""
     schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
     if isinstance(source, str):
-        return spark.read.schema(schema).option("header", header).csv(source)
-    lines = [(line,) for line in source if line.strip()][int(header) :]
+        read = spark.read.schema(schema).option("header", header).csv(source)
+        return read if max_rows is None else read.limit(max_rows)
+    filled = (line for line in source if line.strip())
+    lines = [(line,) for line in islice(filled, int(header), None if max_rows is None else int(header) + max_rows)]
     raw = spark.createDataFrame(lines, "line string")
     return raw.select(F.from_csv("line", _ddl(schema)).alias("r")).select("r.*")
 
@@ -55,21 +58,28 @@ def _ddl(schema: T.StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def read_abalone(spark: SparkSession, source) -> DataFrame:
+def read_abalone(spark: SparkSession, source, max_rows: int | None = None) -> DataFrame:
     """Headerless measurements: a path or lines."""
     kinds = {n: T.DoubleType() for n in ABALONE[1:-1]} | {"Rings": T.IntegerType()}
-    return _csv(spark, source, ABALONE, kinds, header=False)
+    return _csv(spark, source, ABALONE, kinds, False, max_rows)
 
 
-def read_mushroom(spark: SparkSession, source) -> DataFrame:
+def read_mushroom(spark: SparkSession, source, max_rows: int | None = None) -> DataFrame:
     """Headerless categories."""
-    return _csv(spark, source, MUSHROOM, {}, header=False)
+    return _csv(spark, source, MUSHROOM, {}, False, max_rows)
 
 
-def read_anuran(spark: SparkSession, source) -> DataFrame:
+def read_anuran(spark: SparkSession, source, max_rows: int | None = None) -> DataFrame:
     """Coefficients with a header line."""
     kinds = {n: T.DoubleType() for n in ANURAN[:22]} | {"RecordID": T.LongType()}
-    return _csv(spark, source, ANURAN, kinds, header=True)
+    return _csv(spark, source, ANURAN, kinds, True, max_rows)
+
+
+def read_digits(spark: SparkSession, source, pixels: int = 64, max_rows: int | None = None) -> DataFrame:
+    """Headerless digit images: as many grey values as pixels, then the digit -> ``(features array<double>, digit)``."""
+    names = tuple(f"pixel_{i}" for i in range(pixels)) + ("digit",)
+    rows = _csv(spark, source, names, dict.fromkeys(names[:-1], T.DoubleType()) | {"digit": T.IntegerType()}, False, max_rows)
+    return rows.select(F.array(*names[:-1]).alias("features"), "digit")
 
 
 def prepare_abalone(df: DataFrame, sex: str = "Sex", rings: str = "Rings") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanweave.operators import inference as I
 from spanweave.operators.graph import Graph
 
+# Known graphs (labels; edges), whose labels, cut, messages and routes below must come out.
 CUT = ([1, 1, 1, 1, 0, 0, 0, 0, -1, -1, -1, -1], [(0, 3, 2), (0, 6, 3), (0, 9, 5), (2, 4, 3), (3, 7, 6), (3, 10, 5), (4, 10, 6), (5, 6, 4), (6, 8, 3), (7, 11, 4)])
 TREE = ([-1, 1, 1, 1, 0, 0, 0, 0, -1, -1, -1, -1], [(0, 6, 3), (0, 9, 5), (2, 7, 6), (2, 10, 5), (3, 4, 3), (4, 10, 6), (5, 6, 4), (6, 8, 3), (7, 11, 4)])
 LOOP = ([1, 1, -1, -1, 0, -1], [(0, 1, 3), (0, 3, 5), (1, 2, 6), (1, 5, 3), (2, 3, 4), (3, 4, 2), (4, 5, 5)])
@@ -32,7 +33,7 @@ def test_mincut_golden(spark):
     g = graph(spark, *CUT)
     labels = I.mincut_labels(g)
     assert labels_of(labels) == [1, 1, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0]
-    assert I.cut_value(g.edges, labels).first()["value"] == 17
+    assert I.cut_value(g.edges, labels).first()["value"] == 17 == I.flow_value(g).first()["flow"]
 
 
 def brute_cut(labels, edges):

@@ -1,5 +1,8 @@
+import glob
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,18 @@ def test_catalog_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
+@pytest.mark.parametrize("name", ["tree_messages", "tree_labels", "flood_faithful_labels", "flood_labels", "mincut_checks", "report_text", "report_average", "p5_found", "p5_donors", "p5_marks", "abalone_prepare", "abalone_file", "mushroom_file", "anuran_file", "sgml_files", "vocabulary_counts", "tokenize_unicode", "tfidf_selected_terms"])
+def test_against_sql(spark, data, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    got = catalog.queries()[name](spark, data)
+    columns = sorted(got.columns)
+    cursor = con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert order([r[c] for c in columns] for r in got.collect()) == order(cursor.fetchall())
+
+
 def test_report_average_scores_the_hidden_part(spark, data):
     from spanweave.plans import catalog
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanweave.operators import encode, evaluate, splits, textfeatures as T
 from spanweave.sources import corpora, reports, tabular
 
+# Known rows, whose prepared and encoded forms below must come out.
 ABALONE = """M,0.455,0.365,0.095,0.514,0.2245,0.101,0.15,15
 M,0.35,0.265,0.09,0.2255,0.0995,0.0485,0.07,7
 F,0.53,0.42,0.135,0.677,0.2565,0.1415,0.21,1
@@ -69,6 +70,30 @@ def test_anuran_and_parity(spark):
     assert [r[0] for r in spark.range(3).select(tabular.parity(F.col("id"))).collect()] == [0, 1, 0]
 
 
+def test_row_limits_and_digits(spark, tmp_path):
+    lines = [",".join([str(k), "2", "1", "1", str(k)]) for k in range(5)]
+    got = tabular.read_digits(spark, iter(lines), pixels=4, max_rows=3).collect()
+    assert [(r["features"], r["digit"]) for r in got] == [([float(k), 2.0, 1.0, 1.0], k) for k in range(3)]
+    (tmp_path / "d.csv").write_text("\n".join(lines))
+    assert tabular.read_digits(spark, str(tmp_path / "d.csv"), pixels=4, max_rows=2).count() == 2
+    header = ",".join(c.replace(" ", "") for c in tabular.ANURAN)
+    row = ",".join(["0.5"] * 22) + ",Hylidae,g,s,2"
+    assert tabular.read_anuran(spark, [header, row, row, row], max_rows=2).count() == 2 and tabular.read_abalone(spark, ["M,1,1,1,1,1,1,1,9"] * 4, max_rows=0).count() == 0
+
+
+def test_seeded_order(spark):
+    df = spark.createDataFrame([(f"p{i}",) for i in range(50)], "path string")
+    a, b, c = ([r["path"] for r in corpora.seeded_order(x, "path", s).orderBy("position").collect()] for x, s in ((df, 1), (df.repartition(3), 1), (df, 2)))
+    assert a == b != c and sorted(a) == sorted(c)
+
+
+def test_long_reports(spark, tmp_path):
+    """No line is left out, however many buckets there are."""
+    rows = spark.range(1500).select(F.format_string("bucket %05d", "id").alias("bucket"), F.explode(F.array(*map(F.lit, evaluate.METRICS))).alias("metric"), F.lit(0.5).alias("value"))
+    reports.export_text(rows, str(tmp_path / "r.txt"), "all")
+    assert sum("bucket" in line for line in (tmp_path / "r.txt").read_text().splitlines()) == 1500
+
+
 SGML = """<!DOCTYPE lewis SYSTEM "lewis.dtd">
 <REUTERS TOPICS="YES"><TOPICS><D>acq</D><D>grain</D></TOPICS><TEXT>&#2;<TITLE>A &amp; B</TITLE><BODY>One  two
 three &lt;X>
@@ -103,6 +128,7 @@ def test_newsgroups_and_vocabulary(spark, tmp_path):
     assert [(r["term_id"], r["term"]) for r in corpora.read_vocabulary(spark, str(tmp_path / "v.txt")).collect()] == [(0, "alpha"), (1, "beta"), (2, "gamma")]
 
 
+# Known word counts (documents, words) and classes, whose ranks below must come out.
 COUNTS = np.array([[4, 2, 10, 4, 2, 1, 1, 1, 3, 9], [2, 4, 0, 0, 0, 0, 1, 0, 0, 0], [0, 3, 3, 0, 1, 1, 1, 0, 8, 5], [0, 2, 0, 0, 0, 0, 0, 0, 4, 0], [0, 8, 8, 0, 0, 0, 1, 0, 6, 1], [0, 2, 1, 0, 0, 0, 0, 0, 4, 5]])
 CLASSES = [2, 2, 0, 0, 1, 1]
 
