@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import unicodedata
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,17 +58,16 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return terms.value_frequencies(_read(spark, d, "mushroom"), "mushroom_id", ["class_code", "odor", "stalk_root", "habitat"])
 
 
-def _samples(spark: SparkSession, d: str):
+def _samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = _read(spark, d, "sample_targets")
+    shares = {r["table_name"]: r["s"] for r in targets.groupBy("table_name").agg(F.max("sample_share").alias("s")).collect()}  # a row a table
     first_topic = F.get("topics", F.lit(0))
-    for table, key, category in (("abalone", "abalone_id", F.col("rings")), ("anuran_calls", "call_id", F.col("family")), ("mushroom", "mushroom_id", F.col("class_code")), ("reuters", "news_id", first_topic)):
-        wanted = targets.where(F.col("table_name") == table)
-        share = wanted.agg(F.max("sample_share")).first()[0] or 0.0
-        yield table, *balanced_sample.balanced_sample(_read(spark, d, table), key, category, wanted, share)
+    tables = (("abalone", "abalone_id", F.col("rings")), ("anuran_calls", "call_id", F.col("family")), ("mushroom", "mushroom_id", F.col("class_code")), ("reuters", "news_id", first_topic))
+    return balanced_sample.balanced_samples([balanced_sample.Draw(t, _read(spark, d, t), key, category, targets.where(F.col("table_name") == t), shares.get(t) or 0.0) for t, key, category in tables])
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, (report.withColumn("table_name", F.lit(t)) for t, _, report in _samples(spark, d)))
+    return _samples(spark, d)[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +75,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, (drawn.select(F.lit(t).alias("table_name"), "id", "category") for t, drawn, _ in _samples(spark, d)))
+    return _samples(spark, d)[0]
 
 
 def p3_balance(spark: SparkSession, d: str) -> DataFrame:

@@ -159,6 +159,18 @@ def test_sample(spark):
     assert empty.count() == 0 and all(r["short"] and r["drawn"] == 0 for r in report.collect())
 
 
+def test_samples_of_several_tables(spark):
+    """Drawn together, each table keeps its total; the same ids and categories in two tables don't meet."""
+    a = spark.range(3000).select("id", (F.col("id") % 7).cast("string").alias("c"))
+    b = spark.range(1000).select("id", (F.col("id") % 3).cast("string").alias("c"))
+    share = lambda n: spark.createDataFrame([(str(k), 1.0 / n, 2) for k in range(n)], "category string, target_share double, min_rows int")
+    drawn, report = S.balanced_samples([S.Draw("a", a, "id", F.col("c"), share(7), 0.1), S.Draw("b", b, "id", F.col("c"), share(3), 0.21)], rows_per_group=100)
+    assert all(abs(r["residual"]) < 1 for r in report.collect()) and report.count() == 10
+    counts = {r["table_name"]: r["count"] for r in drawn.groupBy("table_name").count().collect()}
+    assert abs(counts["a"] - 300) <= 1 and abs(counts["b"] - 210) <= 1
+    assert drawn.where("table_name = 'b' and id >= 1000").count() == 0 and drawn.distinct().count() == drawn.count()
+
+
 def test_sample_many_groups(spark):
     """More groups than one merge takes: undecided records go up two levels."""
     df = spark.range(20_000).select("id", (F.col("id") % 3).cast("string").alias("c"))
