@@ -171,26 +171,33 @@ def _touched(low: np.ndarray, high: np.ndarray, q: np.ndarray, r2: np.ndarray) -
     return gap <= r2
 
 
-def _within(x: np.ndarray, q: np.ndarray, r2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of ``x`` (in hash order) within each query's radius: blocks of (query, row, squared distance). Runs of strings that the ball misses are skipped."""
-    n = len(x)
-    low, high = _boxes(x, _LEAF)
-    low2, high2 = _boxes(x, _LEAF * _FAN)
+def _touching(low: np.ndarray, high: np.ndarray, q: np.ndarray, r2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (query, box) whose box the query's ball touches; ``_FAN`` boxes in a row are looked at together first."""
+    n = len(low)
+    starts = np.arange(0, n, _FAN)
+    low2, high2 = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
     for a in range(0, len(q), _QUERIES):
         part, limit = q[a : a + _QUERIES], r2[a : a + _QUERIES]
         who, run = np.nonzero(_touched(low2[None], high2[None], part[:, None], limit[:, None]))
         for b in range(0, len(who), 8192):
-            i, leaf = who[b : b + 8192, None], run[b : b + 8192, None] * _FAN + np.arange(_FAN)
-            inside = leaf < len(low)
-            leaf = np.where(inside, leaf, 0)
-            hit = _touched(low[leaf], high[leaf], part[i], limit[i]) & inside
-            i, leaf = np.broadcast_to(i, hit.shape)[hit], leaf[hit]
-            row = leaf[:, None] * _LEAF + np.arange(_LEAF)
-            inside = row < n
-            row = np.where(inside, row, 0)
-            d2 = _squared(x[row], part[i][:, None])
-            hit = (d2 <= limit[i][:, None]) & inside
-            yield a + np.broadcast_to(i[:, None], hit.shape)[hit], row[hit], d2[hit]
+            i, box = who[b : b + 8192, None], run[b : b + 8192, None] * _FAN + np.arange(_FAN)
+            inside = box < n
+            box = np.where(inside, box, 0)
+            hit = _touched(low[box], high[box], part[i], limit[i]) & inside
+            yield a + np.broadcast_to(i, hit.shape)[hit], box[hit]
+
+
+def _within(x: np.ndarray, q: np.ndarray, r2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x`` (in hash order) within each query's radius: blocks of (query, row, squared distance). Runs of strings that the ball misses are skipped."""
+    n = len(x)
+    low, high = _boxes(x, _LEAF)
+    for i, leaf in _touching(low, high, q, r2):
+        row = leaf[:, None] * _LEAF + np.arange(_LEAF)
+        inside = row < n
+        row = np.where(inside, row, 0)
+        d2 = _squared(x[row], q[i][:, None])
+        hit = (d2 <= r2[i][:, None]) & inside
+        yield np.broadcast_to(i[:, None], hit.shape)[hit], row[hit], d2[hit]
 
 
 def _route(low: np.ndarray, high: np.ndarray, dims: int):
@@ -200,14 +207,9 @@ def _route(low: np.ndarray, high: np.ndarray, dims: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            r2, x = batch.column(1).to_numpy(), _matrix(batch.column(2), dims)
-            who, part = [], []
-            for a in range(0, len(x), _QUERIES):
-                i, p = np.nonzero(_touched(low[None], high[None], x[a : a + _QUERIES, None], r2[a : a + _QUERIES, None]))
-                who.append(a + i)
-                part.append(p)
-            who = pa.array(np.concatenate(who))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).astype(np.int32)), *[batch.column(c).take(who) for c in range(3)]], names=["part", "vid", "r2", "x"])
+            for who, part in _touching(low, high, _matrix(batch.column(2), dims), batch.column(1).to_numpy()):
+                who = pa.array(who)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[batch.column(c).take(who) for c in range(3)]], names=["part", "vid", "r2", "x"])
 
     return run
 
@@ -257,7 +259,7 @@ def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5,
     names = [f"c{i}" for i in range(dims)]
     for c in names:
         valid = valid.where(_finite(c))
-    valid = materialize(valid.groupBy("id").agg(F.min(F.struct(*names)).alias("v")).select("id", "v.*"))
+    valid = valid.groupBy("id").agg(F.min(F.struct(*names)).alias("v")).select("id", "v.*")
     ranked = valid.withColumn("r", F.row_number().over(Window.partitionBy(*names).orderBy("id"))).where(F.col("r") <= k + 1)
     vectors = ranked.groupBy(*names).agg(F.min("id").alias("vid"), F.array_sort(F.collect_list("id")).alias("ids"))
     vectors = materialize(vectors.select("vid", "ids", F.array(*names).alias("x")))
@@ -288,6 +290,8 @@ def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5,
     out = each.select("id", F.posexplode(others).alias("rank", "e")).select("id", F.col("e.id").alias("neighbour"), F.sqrt("e.d2").alias("distance"), (F.col("rank") + 1).alias("rank"))
     # of a vector with more than k + 1 ids, the others have the first k as their nearest
     many = vectors.where(F.size("ids") > k).select("ids", *[F.col("x")[i].alias(c) for i, c in enumerate(names)])
+    if many.isEmpty():
+        return out
     rest = valid.join(many, names).where(F.col("id") > F.element_at("ids", -1)).select("id", F.posexplode(F.slice("ids", 1, k)).alias("rank", "neighbour"))
     return out.unionByName(rest.select("id", "neighbour", F.lit(0.0).alias("distance"), (F.col("rank") + 1).alias("rank")))
 

@@ -28,6 +28,7 @@ def test_neighbours_are_exact(spark):
 def test_neighbours_over_partitions_and_outliers(spark, monkeypatch):
     """Partitions of a few vectors, two far groups, and one vector that would stretch any scale: nothing is lost."""
     monkeypatch.setattr(V, "PART_ROWS", 60)
+    monkeypatch.setattr(V, "_FAN", 3)
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.uniform(1, 2, (500, 3)), 1000 + rng.uniform(0, 1, (40, 3)), [[1e9, 1e9, 1e9]]])
     df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "id long, a double, b double, c double")
