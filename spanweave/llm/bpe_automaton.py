@@ -27,6 +27,8 @@ PRE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 START = -1
 #: A worker forgets its words at this count, so that its memory stays bounded; results don't depend on it.
 MEMO_WORDS = 400_000
+#: Arcs that a worker's table holds; it is filled anew beyond that.
+MEMO_ARCS = 4_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -105,6 +107,8 @@ class TokenizationAutomaton:
         key = state << 32 | token
         known = self.arcs.get(key)
         if known is None:
+            if len(self.arcs) >= MEMO_ARCS:
+                self.arcs.clear()
             known = self.arcs[key] = self._follows(state, token)
         return known
 
