@@ -466,12 +466,14 @@ def mincut_checks(spark, d):
     _, g = _built(spark, d)
     labels = materialize(inference.mincut_labels(g))
     known = g.vertices.where("label >= 0").select("vid", F.col("label").alias("was"))
-    kept = labels.join(known, "vid").where("was = label").agg(F.count(F.lit(1)).alias("labelled_kept"))
+    kept = labels.join(known, "vid").where("was = label").agg(F.count(F.lit(1)).alias("n"))
     at = graph.both_directions(g.edges).join(labels.select(F.col("vid").alias("src"), F.col("label").alias("x")), "src").join(labels.select(F.col("vid").alias("dst"), F.col("label").alias("y")), "dst")
     flip = at.groupBy("src").agg(F.sum(F.when(F.col("x") == F.col("y"), F.col("weight")).otherwise(-F.col("weight"))).alias("gain"))
-    worse = flip.join(known.withColumnRenamed("vid", "src"), "src", "left_anti").where("gain < -1e-9").agg(F.count(F.lit(1)).alias("improvable"))
-    values = inference.cut_value(g.edges, labels).crossJoin(inference.flow_value(g))  # a row each
-    return kept.crossJoin(worse).crossJoin(values.select((F.abs(F.col("value") - F.col("flow")) < 1e-6).alias("cut_is_flow")))
+    worse = flip.join(known.withColumnRenamed("vid", "src"), "src", "left_anti").where("gain < -1e-9").agg(F.count(F.lit(1)).alias("n"))
+    parts = [(kept, "n"), (worse, "n"), (inference.cut_value(g.edges, labels), "value"), (inference.flow_value(g), "flow")]
+    rows = reduce(DataFrame.union, [df.select(F.lit(i).alias("part"), F.col(c).cast("double").alias("v")) for i, (df, c) in enumerate(parts)])
+    of = lambda i: F.max(F.when(F.col("part") == i, F.col("v")))
+    return rows.agg(of(0).cast("long").alias("labelled_kept"), of(1).cast("long").alias("improvable"), (F.abs(of(2) - of(3)) < 1e-6).alias("cut_is_flow"))
 
 
 _U = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0"

@@ -215,14 +215,10 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("graph", F.row_number().over(Window.orderBy("run", "model", "metric", "graph_type", "k")).cast("long") - 1)
 
 
-def _grid(spark: SparkSession, configs: list[Config]) -> DataFrame:
-    return spark.createDataFrame([(c.model, c.metric, c.graph_type) for c in configs], "model string, metric string, graph_type string")
-
-
 def search_runs(labelled: DataFrame, configs: list[Config], ks=K_RANGE, seed: int = 0) -> DataFrame:
     """:func:`search_k` for every run of ``labelled(run, id, features, y)`` and every configuration: ``(run, model, metric, graph_type, k)``; k is 0 for whole trees."""
-    spark = labelled.sparkSession
-    grid = labelled.select("run").distinct().crossJoin(F.broadcast(_grid(spark, configs)))  # a row per run and configuration
+    each = F.array(*[F.struct(F.lit(c.model).alias("model"), F.lit(c.metric).alias("metric"), F.lit(c.graph_type).alias("graph_type")) for c in configs])
+    grid = labelled.select("run").distinct().select("run", F.explode(each).alias("c")).select("run", "c.*")
     whole = grid.where("graph_type = 'mst'").withColumn("k", F.lit(0))
     near = [c for c in configs if c.graph_type != "mst"]
     if not near:

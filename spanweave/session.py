@@ -19,7 +19,6 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -27,8 +26,9 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only on a single local machine."""
+    """Use the cluster's shared folder; a folder of our own only on a single local machine. Files of checkpoints that nothing refers to any more are deleted."""
     sc = spark.sparkContext
+    sc._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
