@@ -20,10 +20,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.llm.sampling import hash_sample
 from spanweave.operators.components import connected_components
 from spanweave.session import materialize
 
-#: Rows with the smallest id hashes that the starting mixtures are fitted to; the fit itself reads all rows.
+#: Rows, about, chosen by id hashes, that the starting mixtures are fitted to; the fit itself reads all rows.
 START_ROWS = 10_000
 #: Starting rows for each component, where there are more than START_ROWS over this.
 START_EACH = 100
@@ -219,8 +220,8 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
     z = x.select("x").mapInArrow(project, "z array<float>").persist(StorageLevel.MEMORY_AND_DISK)
 
     def starts(rows: int) -> np.ndarray:
-        first = x.orderBy("h").limit(rows).select("x").collect()
-        return ((np.array([f[0] for f in first]) - mean) / scale) @ axes.T
+        first = sorted(hash_sample(x, F.col("h"), n, rows).collect(), key=lambda f: (f["h"], f["x"]))
+        return ((np.array([f["x"] for f in first or x.limit(1).collect()]) - mean) / scale) @ axes.T
 
     sample = starts(START_ROWS)
     models: dict[int, list] = {}
@@ -257,7 +258,7 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
     def fit(wanted: list[int]) -> int:
         """Fit sizes; the best of all so far."""
         nonlocal sample
-        if len(sample) < min(n, START_EACH * max(wanted)):
+        if len(sample) < min(n, START_EACH * max(wanted) // 2):
             sample = starts(START_EACH * max(wanted))
         fresh = [k for k in wanted if k <= max(1, len(sample))]
         models.update({k: _start(sample, k, seed, regular) for k in fresh})

@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.llm.sampling import hash_sample
 from spanweave.session import materialize, parallelism
 
-#: Vectors (those with the smallest id hashes) that ranks and partition borders are read from; every vector is indexed.
+#: Vectors, about, chosen by id hashes, that ranks and partition borders are read from; every vector is indexed.
 SAMPLE_ROWS = 20_000
 #: Vectors of one tree in a partition, about.
 PART_ROWS = 100_000
@@ -266,7 +267,7 @@ def similar_vectors(df: DataFrame, id_col: str, columns: list[str], k: int = 5,
     n = vectors.count()
     if not n:
         return spark.createDataFrame([], "id long, neighbour long, distance double, rank int")
-    sample = np.array([r[0] for r in vectors.orderBy(F.xxhash64("vid"), "vid").limit(SAMPLE_ROWS).select("x").collect()])
+    sample = np.array([r["x"] for r in hash_sample(vectors.select("vid", "x"), F.col("vid"), n, SAMPLE_ROWS).collect()])
     parts = min(max(math.ceil(n / PART_ROWS), math.ceil(parallelism(spark) / trees)), max(1, len(sample) // 2))
     forest = [HashTree(sample, seed, t, bits, parts) for t in range(trees)]
     planted = vectors.select("vid", "x").mapInArrow(_plant(forest, parts, dims), "part int, hash binary, vid long, x array<double>")

@@ -22,11 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.session import parallelism
+from spanweave.llm.sampling import hash_sample
+from spanweave.session import materialize, parallelism
 
 _RUN = re.compile(r"[^\W_]+")
 _BLOCK_CHARS = 4_000_000
-#: Records (those with the smallest id hashes) and rows of theirs that borders are taken from; rows of a range, about; terms whose range a worker remembers.
+#: Records, about, chosen by id hashes, and rows of theirs that borders are taken from; rows of a range, about; terms whose range a worker remembers.
 SAMPLE_RECORDS, SAMPLE_ROWS, RANGE_ROWS, _MEMO = 2_000, 20_000, 4_000_000, 500_000
 
 
@@ -102,11 +103,11 @@ _ROWS = "part int, term string, record long, n int"
 
 def _borders(rows: DataFrame, records: int) -> list[tuple[str, int]]:
     """Borders of as many ranges as the rows fill."""
-    sample = rows.orderBy(F.xxhash64("record"), "record").limit(SAMPLE_RECORDS).mapInArrow(_record_terms([]), _ROWS)
-    sample = sample.select(F.substring("term", 1, 100).alias("term"), "record")
+    chosen = hash_sample(rows, F.col("record"), records, SAMPLE_RECORDS).dropDuplicates(["record"])
+    sample = materialize(chosen.mapInArrow(_record_terms([]), _ROWS).select(F.substring("term", 1, 100).alias("term"), "record"))
     n, held = sample.agg(F.count(F.lit(1)), F.countDistinct("record")).first()
     ranges = max(parallelism(rows.sparkSession), math.ceil(n / max(held, 1) * records / RANGE_ROWS))
-    kept = sorted((r["term"], r["record"]) for r in sample.orderBy(F.xxhash64("term", "record")).limit(SAMPLE_ROWS).collect())
+    kept = sorted((r["term"], r["record"]) for r in hash_sample(sample, F.concat("term", F.col("record").cast("string")), n, SAMPLE_ROWS).collect())
     return sorted({kept[len(kept) * k // ranges] for k in range(1, ranges)}) if kept else []
 
 

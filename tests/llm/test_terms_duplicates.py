@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanweave.llm import near_duplicates as N
 from spanweave.llm import terms as T
+from spanweave.llm.sampling import hash_sample
 
 
 def story():
@@ -51,6 +52,13 @@ def test_borders_cut_a_hot_term(spark, monkeypatch):
     assert got["hot"] == 600 and got["w3"] == 86 and got["x5"] == 1 and len(got) == 608
 
 
+def test_hash_sample(spark):
+    df = spark.range(20_000)
+    some = hash_sample(df, F.col("id"), 20_000, 1000)
+    assert 850 < some.count() < 1150 and sorted(some.collect()) == sorted(hash_sample(df.repartition(5), F.col("id"), 20_000, 1000).collect())
+    assert hash_sample(df, F.col("id"), 20_000, 20_000).count() == 20_000 and hash_sample(df.limit(0), F.col("id"), 0, 5).count() == 0
+
+
 def test_values(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "a", None), (3, None, 2)], "id long, x string, y int")
     got = {(r["field"], r["value"]): (r["occurrences"], r["records"]) for r in T.value_frequencies(df, "id", ["x", "y"]).collect()}
