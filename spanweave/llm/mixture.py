@@ -32,6 +32,8 @@ START_EACH = 100
 STARTS, SHORT_PASSES, LONG_PASSES = 15, 6, 30
 #: Sizes that are fitted first; then two more at a time, up to twice the largest, until the two largest are both worse than the best.
 FIRST_SIZES = (1, 2, 4, 8, 12, 16)
+#: A size is given up when so many more steps like its last would not bring it level with the best.
+GIVEN_UP = 20
 #: Passes after which a size that hasn't settled is an error.
 MOST_PASSES = 1000
 _CHUNK = 8_192
@@ -191,7 +193,7 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
     """Fit on all rows of ``df`` (numbers without nulls); None for an empty table.
 
     Without ``sizes``, they grow from ``FIRST_SIZES`` until the two largest are both worse than the best, as one may be a poor local optimum, and are halved around the best until it stays; given ones are all there are. Every size is iterated until its mean log
-    likelihood changes by less than ``tolerance`` of it; not settling in ``MOST_PASSES`` is an error. With ``max_iter`` it ends after so many passes.
+    likelihood changes by less than ``tolerance`` of it or it is hopelessly behind (``GIVEN_UP``); not settling in ``MOST_PASSES`` is an error. With ``max_iter`` it ends after so many passes.
     Sizes above the number of rows are left out. ``regular`` is added to every covariance's diagonal, so repeated rows and
     constant features don't collapse a component.
     """
@@ -245,9 +247,12 @@ def fit_mixture(df: DataFrame, id_col: str, columns: list[str], sizes: tuple[int
                 passes[k] = passes.get(k, 0) + 1
                 new, s = sums[at] / n, sums[at + 1 : at + 1 + k * part]
                 at += 1 + k * part
-                if k in likelihood and abs(new - likelihood[k]) < tolerance * max(1.0, abs(new)):
-                    active.remove(k)
+                gain = new - likelihood[k] if k in likelihood else np.inf
                 likelihood[k] = new
+                behind = criterion(k)[0] - min(criterion(j)[0] for j in likelihood if j != k) if len(likelihood) > 1 else 0.0
+                # settled, or so far behind that many more steps like the last would not make it the best
+                if abs(gain) < tolerance * max(1.0, abs(new)) or max_iter is None and behind > 2 * n * GIVEN_UP * abs(gain):
+                    active.remove(k)
                 models[k] = _maximisation(s, models[k][1], regular)
         if active and max_iter is None:
             raise RuntimeError(f"mixtures of {active} components have not settled in {MOST_PASSES} passes")
