@@ -192,6 +192,17 @@ _LEAKS = rf"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all({_form
 i AS (SELECT item_id, list_transform(regexp_extract_all({_form_sql("item_text")}, '[\p{{L}}\p{{N}}]+'), lambda x: lower(x)) AS w FROM eval_items WHERE item_text IS NOT NULL),
 dr AS (SELECT doc_id, unnest({_RUNS}) AS run FROM d), ir AS (SELECT item_id, unnest({_RUNS}) AS run FROM i)
 SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)"""
+def _groups_sql(key: str, words: str, shingle: int, least: int, similarity: float) -> str:
+    """Chains of similar sets from all pairs that share a shingle; ``words`` is the query of (key, w)."""
+    return f"""WITH RECURSIVE ws AS ({words}),
+st AS MATERIALIZED (SELECT {key} AS id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {shingle - 2}, 2)), lambda i: array_to_string(w[i : i + {shingle - 1}], ' ')))) AS s FROM ws WHERE len(w) >= {max(1, least)}),
+sh AS MATERIALIZED (SELECT id, unnest(s) AS s FROM st),
+e AS MATERIALIZED (SELECT x, y FROM (SELECT a.id AS x, b.id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id GROUP BY ALL) JOIN st p ON p.id = x JOIN st q ON q.id = y WHERE c >= {similarity} * (len(p.s) + len(q.s) - c)),
+cc(id, g) USING KEY (id) AS (SELECT id, id FROM st UNION (SELECT e.y, min(cc.g) FROM cc JOIN e ON e.x = cc.id JOIN recurring.cc AS r ON r.id = e.y WHERE cc.g < r.g GROUP BY e.y)),
+cl AS (SELECT id, min(id) OVER (PARTITION BY s) AS c FROM st)
+SELECT {key}, coalesce(cl.c, {key}) AS class_id, coalesce(cc.g, {key}) AS group_id FROM (SELECT DISTINCT {key} FROM ws) k LEFT JOIN cl ON cl.id = k.{key} LEFT JOIN cc ON cc.id = k.{key}"""
+
+
 _VALID = " AND ".join(f"{c} > 0 AND NOT isnan({c})" for c in MEASURES)
 
 
@@ -216,6 +227,12 @@ SELECT x AS news_id_a, y AS news_id_b FROM shared JOIN size p ON p.news_id = x J
 WITH v AS (SELECT DISTINCT abalone_id AS id, length AS a, diameter AS b, whole_weight AS c, shell_weight AS d FROM abalone WHERE {_VALID}),
 near AS (SELECT x.id AS q, y.id AS o, row_number() OVER (PARTITION BY x.id ORDER BY (x.a - y.a)**2 + (x.b - y.b)**2 + (x.c - y.c)**2 + (x.d - y.d)**2, y.id) AS r FROM v x JOIN v y ON x.id <> y.id)
 SELECT DISTINCT least(q, o) AS abalone_id_a, greatest(q, o) AS abalone_id_b FROM near WHERE r <= 5""",
+        "p4_groups": _groups_sql("news_id", r"SELECT news_id, any_value(list_transform(regexp_extract_all(coalesce(title, '') || ' ' || coalesce(body, ''), '[\p{L}\p{N}]+'), lambda x: lower(x))) AS w FROM reuters GROUP BY news_id", 3, 20, 0.5),
+        "p4_document_groups": _groups_sql("doc_id", r"SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents", 5, 0, 0.8),
+        "p6_neighbours": f"""
+WITH v AS (SELECT DISTINCT abalone_id AS id, length AS a, diameter AS b, whole_weight AS c, shell_weight AS d FROM abalone WHERE {_VALID}),
+near AS (SELECT x.id AS q, y.id AS o, (x.a - y.a)**2 + (x.b - y.b)**2 + (x.c - y.c)**2 + (x.d - y.d)**2 AS d2 FROM v x JOIN v y ON x.id <> y.id)
+SELECT q AS id, o AS neighbour, sqrt(d2) AS distance, CAST(row_number() OVER (PARTITION BY q ORDER BY d2, o) AS INTEGER) AS rank FROM near QUALIFY rank <= 5""",
         "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p8_found": _LEAKS,
         "p9_found": _LOOKS + " SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM seen a JOIN seen b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",

@@ -10,7 +10,7 @@ def test_names():
         assert any(q.startswith(f"p{n}_") for q in queries.queries())
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_balance", "p4_found", "p6_found", "p8_found", "p9_found", "p9_classes"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p3_balance", "p4_found", "p4_groups", "p4_document_groups", "p6_found", "p6_neighbours", "p8_found", "p9_found", "p9_classes"])
 def test_against_sql(spark, data, name):
     con = duckdb.connect()
     for t in ("abalone", "anuran_calls", "mushroom", "reuters", "sample_targets", "documents", "eval_items"):
