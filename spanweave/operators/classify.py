@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.session import materialize
+from spanweave.session import materialize, parallelism
 
 #: Training rows of one fit that a task holds.
 FIT_ROWS = 100_000
@@ -85,24 +85,54 @@ def _width(name: str, features: int) -> int:
     return (DIRECTIONS if name == "svm" else features) + 1
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+def _fits(names: tuple[str, ...], x: np.ndarray, runs: list[int], ys: np.ndarray) -> list[dict]:
+    """Models of the rows under each labelling, a column of ``ys``; equal labellings are fitted once."""
+    variance = x.var()
+    scale = float(np.sqrt(2 / (x.shape[1] * variance))) if variance > 0 else 1.0
+    out = []
+    for name in names:
+        d, z, known = _width(name, x.shape[1]), lift(name, x, scale), {}
+        for run, y in zip(runs, ys.T, strict=True):
+            if (key := y.tobytes()) not in known:
+                known[key] = (_constant(d, y[0] == 1) if len(np.unique(y)) < 2 else newton(lambda w, name=name, z=z, y=y: _loss(name, z, y, w), d)).tolist()
+            out.append({"run": run, "name": name, "scale": scale, "weights": known[key]})
+    return out
+
+
+_ARROW = pa.schema([("run", pa.int64()), ("name", pa.string()), ("scale", pa.float64()), ("weights", pa.list_(pa.float64()))])
+
+
 def _fit_kernel(names: tuple[str, ...]):
     def run(key, table):
-        x, y = np.array(table["features"].to_pylist(), float), table["y"].to_numpy()
-        variance = x.var()
-        scale = float(np.sqrt(2 / (x.shape[1] * variance))) if variance > 0 else 1.0
-        out = []
-        for name in names:
-            d = _width(name, x.shape[1])
-            if len(np.unique(y)) < 2:
-                out.append(_constant(d, y[0] == 1))
-                continue
-            z = lift(name, x, scale)
-            out.append(newton(lambda w, name=name, z=z: _loss(name, z, y, w), d))
-        return pa.table({"run": pa.array([key[0].as_py()] * len(names), pa.int64()), "name": list(names), "scale": [scale] * len(names), "weights": pa.array([w.tolist() for w in out], pa.list_(pa.float64()))})
+        return pa.Table.from_pylist(_fits(names, _matrix(table["features"]), [key[0].as_py()], table["y"].to_numpy()[:, None]), _ARROW)
 
     return run
 
 
+def fit_labellings(train: DataFrame, names: tuple[str, ...] = NAMES, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``train(by, features, runs, ys)``, ``ys`` a row's labels under each of the ``runs``, which are the same in all rows of a ``by`` -> ``(by, run, name, scale, weights)``.
+
+    The same as :func:`fit_many` of every labelling, but the rows of a ``by`` are sent and lifted once for all of them.
+    """
+
+    def run(key, table):
+        return pa.Table.from_pylist([{"by": key[0].as_py()} | m for m in _fits(names, _matrix(table["features"]), table["runs"][0].as_py(), _matrix(table["ys"]))], _ARROW.insert(0, pa.field("by", pa.int64())))
+
+    train = materialize(train)
+    sizes = train.groupBy("by").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > fit_rows).select("by")
+    models = train.join(large, "by", "left_anti").repartition(parallelism(train.sparkSession), "by").groupBy("by").applyInArrow(run, "by long, " + _MODELS)
+    if large.isEmpty():
+        return models
+    each = train.join(large, "by").select("by", "features", F.explode(F.arrays_zip("runs", "ys")).alias("l")).select("by", F.col("l.runs").alias("run"), "features", F.col("l.ys").alias("y"))
+    whose = train.join(large, "by").select("by", F.explode("runs").alias("run")).distinct()
+    return models.unionByName(fit_many(each, names, fit_rows).join(whose, "run").select("by", "run", "name", "scale", "weights"))
+
+
 def _fit_by_passes(train: DataFrame, name: str) -> tuple[float, np.ndarray]:
     """The same fit, each step a pass that sends one vector of sums a task."""
     first = train.agg(F.min("y"), F.max("y"), F.max(F.size("features"))).first()

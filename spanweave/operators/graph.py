@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,11 @@ def _run_of(nodes: DataFrame) -> list[str]:
 def _per_block(nodes: DataFrame, metric: str, gamma: float | None, kernel: Callable, schema: str, block: int) -> DataFrame:
     """Run ``kernel(rows_a, rows_b, weights, same)`` on every block pair; rows are (vid, label) arrays."""
     weigh = BLOCK_METRICS[check_metric(metric)]
+    return _per_pair(nodes, lambda run, a, b, x, z, same: kernel(a, b, weigh(x, z, gamma), same), schema, block)
+
+
+def _per_pair(nodes: DataFrame, kernel: Callable, schema: str, block: int) -> DataFrame:
+    """Run ``kernel(run, rows_a, rows_b, features_a, features_b, same)`` on every block pair."""
     placed, blocks, runs = _block_pairs(nodes, block)
     by = [*_run_of(nodes), "p", "q"]
 
@@ -81,8 +87,7 @@ def _per_block(nodes: DataFrame, metric: str, gamma: float | None, kernel: Calla
         order = np.argsort(vid)
         vid, label, b, x = vid[order], label[order], b[order], x[order]
         i, j = b == p, b == q
-        w = weigh(x[i], x[j], gamma)
-        return pa.Table.from_pydict(kernel((vid[i], label[i]), (vid[j], label[j]), w, p == q))
+        return pa.Table.from_pydict(kernel(key[0].as_py(), (vid[i], label[i]), (vid[j], label[j]), x[i], x[j], p == q))
 
     # several block pairs a task once there are many: a task holds one pair at a time, and tasks stay a small multiple of the cores
     tasks = min(runs * blocks * (blocks + 1) // 2, TASKS_PER_CORE * parallelism(nodes.sparkSession))
@@ -103,20 +108,21 @@ def pairwise_weights(nodes: DataFrame, metric: str = "euclidean", gamma: float |
     return _per_block(nodes, metric, gamma, kernel, EDGES, block)
 
 
+def _influence_of(a, b, w, same):
+    out = {"vid": [], "pos": [], "neg": []}
+    for rows, others, m in ((a, b, w),) if same else ((a, b, w), (b, a, w.T)):
+        un = rows[1] < 0
+        out["vid"].append(rows[0][un])
+        out["pos"].append(m[un][:, others[1] == 1].sum(1))
+        out["neg"].append(m[un][:, others[1] == 0].sum(1))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
 def influence(nodes: DataFrame, metric: str = "euclidean", gamma: float | None = None, digits: int = 9, block: int = BLOCK) -> DataFrame:
     """``(vid, pos_weight, neg_weight, influence)``: for an unlabelled vertex 1 if its weights to label 1 sum to more than those to label 0, else 0; -1 for
     labelled ones. Sums of all weights, negative ones included, rounded to ``digits`` before comparing. Weights never leave the blocks."""
 
-    def kernel(a, b, w, same):
-        out = {"vid": [], "pos": [], "neg": []}
-        for rows, others, m in ((a, b, w),) if same else ((a, b, w), (b, a, w.T)):
-            un = rows[1] < 0
-            out["vid"].append(rows[0][un])
-            out["pos"].append(m[un][:, others[1] == 1].sum(1))
-            out["neg"].append(m[un][:, others[1] == 0].sum(1))
-        return {k: np.concatenate(v) for k, v in out.items()}
-
-    partial = _per_block(nodes, metric, gamma, kernel, "vid long, pos double, neg double", block)
+    partial = _per_block(nodes, metric, gamma, _influence_of, "vid long, pos double, neg double", block)
     sums = partial.groupBy("vid").agg(F.round(F.sum("pos"), digits).alias("pos_weight"), F.round(F.sum("neg"), digits).alias("neg_weight"))
     labelled = nodes.where("label >= 0").select("vid", F.lit(None).cast("double").alias("pos_weight"), F.lit(None).cast("double").alias("neg_weight"), F.lit(-1).alias("influence"))
     return sums.withColumn("influence", (F.col("pos_weight") > F.col("neg_weight")).cast("int")).unionByName(labelled)
@@ -129,7 +135,30 @@ def neighbour_candidates(nodes: DataFrame, metric: str = "euclidean", gamma: flo
     """
     if k <= 0:
         raise ValueError("k must be positive")
+    found = _per_block(nodes, metric, gamma, _candidates_of(k), EDGES + ", is_labelled boolean", block).distinct()
+    return _ranked(found, [], k).select("src", "dst", "weight", "rank", "labelled_rank")
+
 
+def _ranked(found: DataFrame, by: list[str], k: int) -> DataFrame:
+    order = [F.desc("weight"), "dst"]
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "src").orderBy(*order)))
+    ranked = ranked.withColumn("labelled_rank", F.when(F.col("is_labelled"), F.row_number().over(Window.partitionBy(*by, "src", "is_labelled").orderBy(*order))))
+    return ranked.where((F.col("rank") <= k) | (F.col("labelled_rank") == 1))
+
+
+def _best(m: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's ``k`` largest values, equal ones in column order: the start of a stable sort, without sorting all."""
+    if m.shape[1] <= 4 * k:
+        return np.argsort(-m, axis=1, kind="stable")[:, :k]
+    m = np.where(np.isnan(m), -np.inf, m)
+    least = -np.partition(-m, k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero(m >= least[:, None])
+    order = np.lexsort((j, -m[i, j], i))
+    start = np.searchsorted(i, np.arange(len(m)))
+    return j[order][start[:, None] + np.arange(k)]
+
+
+def _candidates_of(k: int):
     def kernel(a, b, w, same):
         out = {"src": [], "dst": [], "weight": [], "is_labelled": []}
         for rows, others, m in ((a, b, w),) if same else ((a, b, w), (b, a, w.T)):
@@ -138,7 +167,7 @@ def neighbour_candidates(nodes: DataFrame, metric: str = "euclidean", gamma: flo
                 np.fill_diagonal(m, -np.inf)
             if not m.size:
                 continue
-            order = np.argsort(-m, axis=1, kind="stable")[:, :k]  # others are in vid order
+            order = _best(m, k)  # others are in vid order
             lab = np.where(others[1][None] >= 0, m, -np.inf)
             best = lab.argmax(1)[:, None]
             pick = np.concatenate([order, best], axis=1)
@@ -153,11 +182,24 @@ def neighbour_candidates(nodes: DataFrame, metric: str = "euclidean", gamma: flo
         empty = {"src": np.int64, "dst": np.int64, "weight": np.float64, "is_labelled": bool}
         return {c: np.concatenate(v) if v else np.empty(0, empty[c]) for c, v in out.items()}
 
-    found = _per_block(nodes, metric, gamma, kernel, EDGES + ", is_labelled boolean", block).distinct()
-    order = [F.desc("weight"), "dst"]
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(*order)))
-    ranked = ranked.withColumn("labelled_rank", F.when(F.col("is_labelled"), F.row_number().over(Window.partitionBy("src", "is_labelled").orderBy(*order))))
-    return ranked.where((F.col("rank") <= k) | (F.col("labelled_rank") == 1)).select("src", "dst", "weight", "rank", "labelled_rank")
+    return kernel
+
+
+def knn_edges(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`knn_of` of one run's candidates in a task, sorted; ``chosen`` tells those of a k."""
+    chosen = chosen & (weight > 0)
+    a, b, w = np.minimum(src, dst)[chosen], np.maximum(src, dst)[chosen], weight[chosen]
+    order = np.lexsort((-w, b, a))
+    a, b, w = a[order], b[order], w[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first], w[first]
+
+
+def forest_edges(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`spanning_forest` of a graph in a task."""
+    keep = _kruskal(src, dst, weight)
+    return src[keep], dst[keep], weight[keep]
 
 
 def knn_of(candidates: DataFrame, k: int) -> DataFrame:
@@ -172,20 +214,44 @@ def knn_graph(nodes: DataFrame, metric: str = "euclidean", k: int = 3, gamma: fl
 
 
 def _kruskal(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Positions of the maximum spanning forest's edges under (weight descending, src, dst)."""
-    parent: dict[int, int] = {}
+    """Positions of the maximum spanning forest's edges under (weight descending, src, dst).
+
+    The heaviest edges go first, a few for each vertex and ties whole; of the rest only those between different trees are looked at again.
+    """
+    if not len(src):
+        return np.empty(0, np.int64)
+    low = min(src.min(), dst.min())
+    number = int(max(src.max(), dst.max()) - low) + 1
+    if number <= 4 * len(src):
+        s, t = src - low, dst - low
+    else:
+        vid, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        number, s, t = len(vid), at[: len(src)], at[len(src) :]
+    parent = list(range(number))
 
     def root(a: int) -> int:
-        while (p := parent.setdefault(a, a)) != a:
-            parent[a] = a = parent.setdefault(p, p)
+        while (p := parent[a]) != a:
+            parent[a] = a = parent[p]
         return a
 
-    keep = []
-    for e in np.lexsort((dst, src, -weight)).tolist():
-        a, b = root(int(src[e])), root(int(dst[e]))
-        if a != b:
-            parent[b] = a
-            keep.append(e)
+    keep, left, most = [], np.arange(len(src)), 4 * number + 1000
+    while len(left):
+        rest = left[:0]
+        if len(left) > 2 * most:
+            w = weight[left]
+            heavy = w >= -np.partition(-w, most)[most]
+            if heavy.any():
+                left, rest = left[heavy], left[~heavy]
+        left = left[np.lexsort((dst[left], src[left], -weight[left]))]
+        for e, a, b in zip(left.tolist(), s[left].tolist(), t[left].tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[b] = a
+                keep.append(e)
+        if len(rest):
+            tree = np.array([root(a) for a in range(number)])
+            rest = rest[tree[s[rest]] != tree[t[rest]]]
+        left = rest
     return np.array(sorted(keep), dtype=np.int64)
 
 
@@ -236,13 +302,63 @@ def spanning_forest(edges: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> D
 def mst_graph(nodes: DataFrame, metric: str = "euclidean", gamma: float | None = None, block: int = BLOCK) -> DataFrame:
     """Spanning forest of the full graph; a block pair sends its own forest only, so n**2 weights never leave the blocks."""
 
-    def kernel(a, b, w, same):
-        i, j = np.nonzero(np.triu(w > 0, 1) if same else w > 0)
-        s, t, v = np.minimum(a[0][i], b[0][j]), np.maximum(a[0][i], b[0][j]), w[i, j]
-        keep = _kruskal(s, t, v)
-        return {"src": s[keep], "dst": t[keep], "weight": v[keep]}
+    return spanning_forest(_per_block(nodes, metric, gamma, _forest_of, EDGES, block))
 
-    return spanning_forest(_per_block(nodes, metric, gamma, kernel, EDGES, block))
+
+def _forest_of(a, b, w, same):
+    i, j = np.nonzero(np.triu(w > 0, 1) if same else w > 0)
+    s, t, v = np.minimum(a[0][i], b[0][j]), np.maximum(a[0][i], b[0][j]), w[i, j]
+    keep = _kruskal(s, t, v)
+    return {"src": s[keep], "dst": t[keep], "weight": v[keep]}
+
+
+def compare_runs(nodes: DataFrame, metrics: list[str], k: int, forests: bool = True, digits: int = 9, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`influence`, :func:`neighbour_candidates` and, unless left out, :func:`mst_graph` of the runs of ``nodes(run, ...)`` for each metric, from one comparison of all pairs.
+
+    The first is ``(metric, run, vid, label, influence)`` of every vertex; the others have ``metric`` and ``run`` too.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    weigh = {m: BLOCK_METRICS[check_metric(m)] for m in metrics}
+
+    def kernel(run, a, b, x, z, same):
+        parts = []
+        for metric, weights in weigh.items():
+            w = weights(x, z, None)
+            near, inf = _candidates_of(k)(a, b, w, same), _influence_of(a, b, w, same)
+            parts.append(("near", metric, near["src"], near["dst"], near["weight"], np.zeros(len(near["src"])), near["is_labelled"]))
+            parts.append(("influence", metric, inf["vid"], inf["vid"], inf["pos"], inf["neg"], np.zeros(len(inf["vid"]), bool)))
+            if forests:
+                tree = _forest_of(a, b, w, same)
+                parts.append(("forest", metric, tree["src"], tree["dst"], tree["weight"], np.zeros(len(tree["src"])), np.zeros(len(tree["src"]), bool)))
+        sizes = [len(p[2]) for p in parts]
+        out = {c: pa.array(np.repeat(np.array([p[i] for p in parts], object), sizes), pa.string()) for i, c in enumerate(("kind", "metric"))}
+        out["run"] = pa.array(np.full(sum(sizes), run), pa.int64())
+        return out | {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("src", "dst", "weight", "other", "is_labelled"), 2)}
+
+    found = materialize(_per_pair(nodes, kernel, f"kind string, metric string, run long, {EDGES}, other double, is_labelled boolean", block))
+    sums = found.where("kind = 'influence'").groupBy("metric", F.col("src").alias("vid")).agg(F.round(F.sum("weight"), digits).alias("pos"), F.round(F.sum("other"), digits).alias("neg"))
+    every = nodes.select("run", "vid", "label").withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
+    chosen = F.when(F.col("label") >= 0, -1).otherwise((F.col("pos") > F.col("neg")).cast("int"))
+    vertices = every.join(sums, ["metric", "vid"], "left").select("metric", "run", "vid", "label", chosen.alias("influence"))
+    near = found.where("kind = 'near'").select("metric", "run", "src", "dst", "weight", "is_labelled").distinct()
+    near = _ranked(near, ["metric"], k).select("metric", "run", "src", "dst", "weight", "rank", "labelled_rank")
+    trees = found.where("kind = 'forest'").select("metric", "run", "src", "dst", "weight")
+    return vertices, near, _forests_of_runs(trees) if forests else trees
+
+
+def _forests_of_runs(parts: DataFrame) -> DataFrame:
+    """The spanning forest of each metric and run from its blocks' forests; one of many edges is finished apart from the others."""
+    by = ["metric", "run"]
+
+    def finish(table: pa.Table) -> pa.Table:
+        return table.take(pa.array(_kruskal(*(table.column(c).to_numpy() for c in ("src", "dst", "weight")))))
+
+    large = [r[:2] for r in parts.groupBy(*by).count().where(F.col("count") > ONE_TASK_EDGES).collect()]  # a row per run that is too large for a task
+    mine = lambda m, r: (F.col("metric") == m) & (F.col("run") == r)
+    small = reduce(lambda df, x: df.where(~mine(*x)), large, parts)
+    out = small.groupBy(*by).applyInArrow(finish, parts.schema)
+    return reduce(DataFrame.unionByName, [spanning_forest(parts.where(mine(*x))).select(F.lit(x[0]).alias("metric"), F.lit(x[1]).cast("long").alias("run"), "src", "dst", "weight") for x in large], out)
 
 
 def knn_mst_graph(nodes: DataFrame, metric: str = "euclidean", k: int = 3, gamma: float | None = None, block: int = BLOCK) -> DataFrame:

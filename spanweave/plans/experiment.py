@@ -1,7 +1,8 @@
 """Experiments: pipelines, the parameter grid, the search for k, transductive and inductive runs, and the registry of datasets.
 
-An experiment's folds, configurations and values of k are columns, not loops: similarities are computed once for each fold and metric, all graphs
-that follow from them are separate parts of one graph, and each of the four models labels all its graphs at once.
+An experiment's folds, configurations and values of k are columns, not loops: similarities are computed once for each fold and metric, and a task makes and
+labels all graphs of a fold, metric and type that follow from them. Graphs too large for a task are separate parts of one graph, which each of the four models
+labels at once.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.metrics import COLUMN_METRICS
 from spanweave.operators import evaluate, splits
-from spanweave.operators.classify import fit_many, predict_many
-from spanweave.operators.graph import GRAPH_TYPES, Graph, build_graph, influence, knn_of, mst_graph, neighbour_candidates, number_vertices, spanning_forest
-from spanweave.operators.inference import MODELS, infer, unlabelled_predictions
-from spanweave.session import materialize
+from spanweave.operators.classify import fit_labellings, fit_many, predict_many
+from spanweave.operators.graph import GRAPH_TYPES, TASKS_PER_CORE, Graph, build_graph, compare_runs, forest_edges, influence, knn_edges, knn_of, neighbour_candidates, number_vertices, spanning_forest
+from spanweave.operators.inference import MODELS, Solver, infer, unlabelled_predictions
+from spanweave.session import materialize, parallelism
 from spanweave.sources import reports
 from spanweave.sources.tabular import in_labels, parity
 
@@ -27,6 +31,8 @@ log = logging.getLogger("spanweave")
 # Graph types that each model is tried on; a tree model needs a forest.
 GRAPHS_OF = {"mincut": ("knn", "mst", "knn_mst"), "mincut_randomize": ("knn", "mst", "knn_mst"), "graphical_tree": ("mst", "knn_mst"), "graphical_loop": ("knn", "mst", "knn_mst")}
 K_RANGE = range(1, 11)
+#: Vertices of a run whose graphs one task makes and solves.
+TASK_VERTICES = 20_000
 
 
 @dataclass(frozen=True)
@@ -166,31 +172,72 @@ class Similarities:
     """What all graphs of some runs follow from, for each metric."""
 
     nodes: DataFrame  # run, vid, id, label
-    vertices: DataFrame  # metric, run, vid, label, influence
+    vertices: DataFrame  # metric, run, vid, id, label, influence
     candidates: DataFrame  # metric, run, src, dst, weight, rank, labelled_rank
     forests: DataFrame  # metric, run, src, dst, weight
     size: int
 
 
-def similarities(rows: DataFrame, metrics: list[str], most: int) -> Similarities:
-    """``rows(run, id, features, label)``, label -1 if hidden; graphs of up to ``most`` neighbours."""
+def similarities(rows: DataFrame, metrics: list[str], most: int, forests: bool = True) -> Similarities:
+    """``rows(run, id, features, label)``, label -1 if hidden; graphs of up to ``most`` neighbours. Without ``forests`` no graph can be of type mst."""
     nodes = materialize(number_vertices(rows, "id", "features", "label", "run"))
-    where, vertices, candidates, forests = nodes.select(F.col("vid").alias("src"), "run"), [], [], []
-    for metric in metrics:
-        tag = F.lit(metric).alias("metric")
-        vertices.append(nodes.join(influence(nodes, metric).select("vid", "influence"), "vid").select(tag, "run", "vid", "label", "influence"))
-        candidates.append(neighbour_candidates(nodes, metric, None, most).join(where, "src").select(tag, "run", "src", "dst", "weight", "rank", "labelled_rank"))
-        forests.append(mst_graph(nodes, metric).join(where, "src").select(tag, "run", "src", "dst", "weight"))
-    every = [materialize(reduce(DataFrame.unionByName, x)) for x in (vertices, candidates, forests)]
-    return Similarities(nodes.drop("features"), *every, nodes.count())
+    vertices, candidates, trees = compare_runs(nodes, metrics, most, forests)
+    named = vertices.join(nodes.select("vid", "id"), "vid").select("metric", "run", "vid", "id", "label", "influence")
+    return Similarities(nodes.drop("features"), *map(materialize, (named, candidates, trees)), nodes.count())
 
 
-def label_graphs(base: Similarities, wanted: DataFrame) -> DataFrame:
+def label_graphs(base: Similarities, wanted: DataFrame, task_vertices: int = TASK_VERTICES) -> DataFrame:
     """``wanted(graph, run, model, metric, graph_type, k)``, graph numbers from 0 -> ``(graph, run, id, predicted)`` of every graph's hidden rows.
 
-    A vertex of graph g is numbered g times the vertices of all runs higher, so graphs never touch. ``wanted`` has a row per graph of the grid and is broadcast.
+    All graphs of a run of up to ``task_vertices``, of a metric and type, are made and solved in one task, which gets the run's neighbours once; the graphs of
+    larger runs go through joins. ``wanted`` has a row per graph of the grid and is broadcast.
     """
     wanted = materialize(wanted)
+    for r in wanted.select("model").distinct().collect():
+        if r["model"] not in MODELS:
+            raise ValueError(f"unknown model {r['model']!r}; known: {', '.join(MODELS)}")
+    large = materialize(base.nodes.groupBy("run").count().where(F.col("count") > task_vertices).select("run"))
+    if large.isEmpty():
+        return _label_in_tasks(base, wanted)
+    return _label_in_tasks(base, wanted.join(large, "run", "left_anti")).unionByName(_label_by_joins(base, materialize(wanted.join(large, "run", "left_semi"))))
+
+
+def _label_in_tasks(base: Similarities, wanted: DataFrame) -> DataFrame:
+    by, no = ["run", "metric", "graph_type"], F.lit(None)
+    jobs = wanted.select(*by, F.lit("job").alias("kind"), F.col("graph").alias("a"), F.col("k").cast("long").alias("b"), no.cast("double").alias("w"), no.cast("int").alias("c"), no.cast("int").alias("d"), "model")
+    tasks = F.broadcast(materialize(wanted.select(*by).distinct()))
+    vertices = base.vertices.join(tasks, ["run", "metric"]).select(*by, F.lit("vertex").alias("kind"), F.col("vid").alias("a"), F.col("id").alias("b"), no.alias("w"), F.col("label").alias("c"), F.col("influence").alias("d"), no.alias("model"))
+    edge = (F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("w"))
+    near = base.candidates.join(tasks.where("graph_type <> 'mst'"), ["run", "metric"]).select(*by, *edge, F.col("rank").alias("c"), F.coalesce("labelled_rank", F.lit(0)).alias("d"), no.alias("model"))
+    trees = base.forests.join(tasks.where("graph_type = 'mst'"), ["run", "metric"]).select(*by, *edge, F.lit(0).alias("c"), F.lit(0).alias("d"), no.alias("model"))
+    rows = reduce(DataFrame.unionByName, (jobs, vertices, near, trees))
+    parts = max(1, min(tasks.count(), TASKS_PER_CORE * parallelism(wanted.sparkSession)))
+    return rows.repartition(parts, *by).groupBy(*by).applyInArrow(_solve_run, "graph long, run long, id long, predicted int")
+
+
+def _solve_run(key: tuple, table: pa.Table) -> pa.Table:
+    run, _, graph_type = (x.as_py() for x in key)
+    part = {kind: table.filter(pc.equal(table["kind"], kind)) for kind in ("job", "vertex", "edge")}
+    vid, ids, label, influence = (part["vertex"][c].to_numpy() for c in ("a", "b", "c", "d"))
+    order = np.argsort(vid)  # numbers without gaps, run after run
+    vid, ids, label, influence = vid[order], ids[order], label[order], influence[order]
+    src, dst = (np.searchsorted(vid, part["edge"][c].to_numpy()) for c in ("a", "b"))
+    weight, rank, labelled_rank = (part["edge"][c].to_numpy() for c in ("w", "c", "d"))
+    whole, solver, hidden, graphs = knn_edges(src, dst, weight, np.ones(len(src), bool)), Solver(label, influence), label < 0, {}
+    out: list[tuple[int, np.ndarray]] = []
+    for job in sorted(part["job"].select(["a", "b", "model"]).to_pylist(), key=lambda j: j["a"]):
+        k = job["b"]
+        if k not in graphs:
+            edges = whole if graph_type == "mst" else knn_edges(src, dst, weight, (rank <= k) | (labelled_rank == 1))
+            graphs[k] = forest_edges(*edges) if graph_type == "knn_mst" else edges
+        out.append((job["a"], solver.labels(job["model"], *graphs[k])[hidden]))
+    n = int(hidden.sum())
+    columns = [np.repeat([g for g, _ in out], n), np.full(n * len(out), run), np.tile(ids[hidden], len(out)), np.concatenate([x for _, x in out])]
+    return pa.table({c: pa.array(x, kind) for c, x, kind in zip(("graph", "run", "id", "predicted"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)})
+
+
+def _label_by_joins(base: Similarities, wanted: DataFrame) -> DataFrame:
+    """A vertex of graph g is numbered g times the vertices of all runs higher, so graphs never touch."""
     high = lambda c: (F.col("graph") * base.size + F.col(c)).alias(c)
     first = base.nodes.groupBy("run").agg(F.min("vid").alias("first"))
     placed = base.vertices.join(F.broadcast(first), "run").join(F.broadcast(wanted), ["run", "metric"])
@@ -225,7 +272,7 @@ def search_runs(labelled: DataFrame, configs: list[Config], ks=K_RANGE, seed: in
         return whole
     half = splits.stratified_runs(labelled, "run", "id", "y", 0.5, seed)
     hidden = materialize(labelled.join(half.select("run", "id", "is_test"), ["run", "id"]).select("run", "id", "features", "y", F.when(F.col("is_test"), -1).otherwise(F.col("y")).alias("label")))
-    base = similarities(hidden, sorted({c.metric for c in near}), max(ks))
+    base = similarities(hidden, sorted({c.metric for c in near}), max(ks), forests=False)
     wanted = materialize(_numbered(grid.where("graph_type <> 'mst'").withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))))
     scored = label_graphs(base, wanted).join(hidden.select("run", "id", "y"), ["run", "id"])
     scores = F.broadcast(wanted).join(evaluate.accuracy(scored, ["graph"]), "graph", "left").fillna(0.0, ["accuracy"])
@@ -264,10 +311,11 @@ def run_inductive(rows: DataFrame, test_share: float = 0.3, unlabelled_share: fl
     if configs:
         base = similarities(hidden, sorted({c.metric for c in configs}), max(ks))
         wanted = materialize(_numbered(search_runs(labelled, configs, ks, seed)))
-        told = label_graphs(base, wanted).select("graph", "run", "id", "predicted")
-        known = F.broadcast(wanted.select("graph", "run")).join(labelled.select("run", "id", F.col("y").alias("predicted")), "run").select("graph", "run", "id", "predicted")
-        filled = told.unionByName(known).join(rows.select("id", "features"), "id").select(F.col("graph").alias("run"), "features", F.col("predicted").alias("y"))
-        models.append(fit_many(filled, supervised).join(F.broadcast(wanted.select(F.col("graph").alias("run"), F.col("run").alias("by"))), "run").select("by", "run", "name", "scale", "weights"))
+        told = label_graphs(base, wanted).groupBy("run", "id").agg(F.map_from_entries(F.collect_list(F.struct("graph", "predicted"))).alias("told"))
+        graphs = wanted.groupBy("run").agg(F.sort_array(F.collect_list("graph")).alias("graphs"))
+        filled = every.where("role <> 'test'").join(F.broadcast(graphs), "run").join(told, ["run", "id"], "left")
+        labels = F.transform("graphs", lambda g: F.when(F.col("role") == "labelled", F.col("y")).otherwise(F.element_at("told", g)))
+        models.append(fit_labellings(filled.select(F.col("run").alias("by"), "features", F.col("graphs").alias("runs"), labels.alias("ys")), supervised))
         titles = titles.unionByName(wanted.select(F.col("graph").alias("run"), F.concat(F.concat_ws("/", "model", "metric", "graph_type"), F.lit("+")).alias("title")))
     # a test row of a run is met by all models of that run; the model's number tells which
     scored = predict_many(materialize(reduce(DataFrame.unionByName, models)).withColumn("run", F.col("run") * folds * folds + F.col("by")), test.withColumn("by", F.col("run")), "by")

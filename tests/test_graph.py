@@ -124,3 +124,30 @@ def test_boruvka_is_kruskal(spark, seed):
     assert one == many
     parts = len(set(union_find(14, pairs)))
     assert len(one) == 14 - parts
+
+
+def test_forests_and_best_without_sorting_all():
+    rng = np.random.default_rng(3)
+    for n, ties in ((40, False), (60, True), (300, True)):
+        i, j = np.nonzero(np.triu(rng.random((n, n)) < 0.9, 1))
+        w = rng.integers(1, 6, len(i)) / 4 if ties else rng.random(len(i))
+        parent, expected = list(range(n)), []
+        for e in np.lexsort((j, i, -w)).tolist():
+            a, b = int(i[e]), int(j[e])
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[b] = a
+                expected.append(e)
+        for far in (0, 10**12):
+            mix = rng.permutation(len(i))
+            assert sorted(mix[G._kruskal(i[mix] + far, j[mix] + far, w[mix])].tolist()) == sorted(expected)
+        m = np.full((n, n), -np.inf)
+        m[i, j] = w
+        for k in (1, 3, 10):
+            best = G._best(m, k)
+            finite = np.isfinite(np.take_along_axis(m, best, 1))
+            sort = np.argsort(-m, axis=1, kind="stable")[:, :k]
+            assert (finite == np.isfinite(np.take_along_axis(m, sort, 1))).all() and (best[finite] == sort[finite]).all()

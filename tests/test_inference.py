@@ -1,6 +1,8 @@
 import itertools
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +175,53 @@ def test_accepted_cuts(spark):
 def test_unknown_model(spark):
     with pytest.raises(ValueError):
         I.infer(graph(spark, *LOOP), "votes")
+
+
+def _flood_by_definition(src, dst, w, label, rounds):
+    s, t = [*src, *dst], [*dst, *src]
+    m = {(a, b): (0.0, 0.0) for a, b in zip(s, t, strict=True)}
+    weight = dict(zip(zip(s, t, strict=True), [*w, *w], strict=True))
+    fine = lambda x: float(np.round(x, 9)) if abs(x) < 1e6 else x
+    with np.errstate(invalid="ignore", over="ignore"):
+        for r in range(max(rounds.values())):
+            total = {v: [np.float64(0), np.float64(0)] for v in t}
+            for a, b in sorted(m):
+                total[b] = [total[b][c] + m[a, b][c] for c in (0, 1)]
+            new = {}
+            for a, b in m:
+                n = [total[a][c] - m[b, a][c] for c in (0, 1)]
+                far = -4 * weight[a, b]
+                x = {0: (n[0], n[0] + far), 1: (n[1] + far, n[1]), -1: (np.maximum(n[0], n[1] + far), np.maximum(n[1], n[0] + far))}[label[a]]
+                new[a, b] = tuple(map(fine, x)) if r < rounds[a] else m[a, b]
+            m = new
+    return m
+
+
+def test_flooding_ends_when_messages_are_no_numbers(spark):
+    """Messages over a graph with cycles are no numbers after some hundred rounds, and then stay so: further rounds cost nothing and change nothing."""
+    cycles = [(a, b, 0.2 + 0.1 * ((3 * a + b) % 5)) for a in range(6) for b in range(a + 1, 6)]
+    ring = [(10, 11, 0.7), (11, 12, 0.4), (10, 12, 0.9), (12, 13, 0.5)]
+    path = [(20, 21, 0.3), (21, 22, 0.8)]
+    src, dst, w = zip(*cycles, *ring, *path, strict=True)
+    label = {v: -1 for v in {*src, *dst}} | {0: 1, 1: 0, 10: 1, 13: 0, 20: 0}
+    frame = lambda rounds: pd.DataFrame({"src": [*src, *dst], "dst": [*dst, *src], "weight": [*w, *w], "label": [label[v] for v in [*src, *dst]], "rounds": [rounds[v] for v in [*src, *dst]]})
+    rounds = {v: 700 if v < 10 else 37 if v < 20 else 5 for v in label}
+    got = I._flood_kernel(False)(frame(rounds))
+    expected = _flood_by_definition(src, dst, w, label, rounds)
+    for r in got.itertuples():
+        assert np.array_equal([r.m_neg, r.m_pos], expected[r.src, r.dst], equal_nan=True), r
+    assert got.where(got["src"] < 10)["m_neg"].isna().any() and got[got["src"] >= 10]["m_neg"].notna().all()
+    began = time.process_time()
+    long = I._flood_kernel(False)(frame({v: 5_000_000 if v < 10 else 5 for v in label}))
+    assert time.process_time() - began < 20  # five million rounds of them would take minutes
+    pd.testing.assert_frame_equal(got[got["src"] < 10], long[long["src"] < 10])
+
+
+def test_noise_is_the_same_in_tasks(spark):
+    edges = [(a, b, 0.1 * (a + b)) for a in range(7) for b in range(a + 1, 9)]
+    got = I.noise_of(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+    rows = I.noisy_edges(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()
+    by = {(r["rep"], r["src"], r["dst"]): r["weight"] for r in rows}
+    for rep in range(1, 5):
+        for e, (a, b, w) in enumerate(edges):
+            assert max(w + got[rep - 1, e], 0.0) == by[rep, a, b]

@@ -59,6 +59,37 @@ def test_many_graphs_as_one(spark):
         assert chosen[f, "mincut"] == experiment.search_k(labelled.where(F.col("run") == f).drop("run"), ks=range(1, 4))[0]
 
 
+
+def test_runs_too_large_for_a_task(spark):
+    """Graphs that a task makes and solves have the labels that they have through joins, and fits of many labellings are those of each."""
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(r, i, [rng.gauss(1.0 * (i % 2), 1.0) for _ in range(3)], i % 2 if i % 3 == 0 else -1) for r, n in ((0, 36), (1, 24)) for i in range(n)], "run long, id long, features array<double>, label int")
+    configs = [experiment.Config(m, "euclidean", g) for m, g in (("mincut", "knn"), ("mincut_randomize", "knn"), ("graphical_tree", "knn_mst"), ("graphical_tree", "mst"), ("graphical_loop", "knn"))]
+    base = experiment.similarities(rows, ["euclidean"], 3)
+    wanted = spark.createDataFrame([(2 * n + f, f, c.model, c.metric, c.graph_type, 2 + f) for n, c in enumerate(configs) for f in (0, 1)], "graph long, run long, model string, metric string, graph_type string, k int")
+    a, b = (sorted(map(tuple, experiment.label_graphs(base, wanted, most).collect())) for most in (1000, 30))
+    assert a == b and len(a) == len(configs) * (24 + 16)
+    with pytest.raises(ValueError):
+        experiment.label_graphs(base, wanted.withColumn("model", F.lit("guess")))
+    ys = spark.createDataFrame([(r["run"], r["features"], [10 + r["run"], 20 + r["run"], 30 + r["run"]], [r["id"] % 2, int(r["features"][0] > 0), 1]) for r in rows.collect()], "by long, features array<double>, runs array<long>, ys array<int>")
+    each = ys.select(F.explode(F.arrays_zip("runs", "ys")).alias("l"), "features").select(F.col("l.runs").alias("run"), "features", F.col("l.ys").alias("y"))
+    of = lambda models: {(r["run"], r["name"]): r["weights"] for r in models.collect()}
+    alone = of(classify.fit_many(each))
+    for most in (1000, 30):
+        together = of(classify.fit_labellings(ys, fit_rows=most))
+        assert together.keys() == alone.keys() and all(together[m] == pytest.approx(alone[m], abs=1e-6) for m in alone)
+
+
+def test_a_grid_is_few_jobs(spark):
+    """However many graphs: a grid of them is labelled by tasks, not by rounds of jobs over all."""
+    rows = spark.createDataFrame([(i, [float(i % 2) + 0.01 * i, 0.1 * (i % 7)], i % 2) for i in range(40)], "id long, features array<double>, y int")
+    spark.sparkContext.setJobGroup("grid", "grid")
+    report = experiment.run_inductive(rows, folds=2, ks=range(1, 4)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("grid"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(report) == 4 * 2 * 34 * 20 and jobs < 150, jobs
+
+
 def test_main(spark, data, tmp_path):
     settings = {"folds": 1, "configs": [experiment.Config("mincut", "euclidean", "mst")], "supervised": ("logistic",)}
     experiment.main(spark, data, str(tmp_path), "digit", **settings)
